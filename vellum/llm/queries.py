@@ -4,16 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import simhash
+from vellum.llm import linededup, quality, sharding, simhash, urlfilter
 from vellum.llm.common import table
 
 
+def op1_url_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_url_boosted_trees": op1_url_boosted_trees,
+    "op3_quality_mcd": op3_quality_mcd,
+    "op4_line_windows": op4_line_windows,
+    "op7_ring_shards": op7_ring_shards,
     "op10_simhash_anchor_cover": op10_simhash_anchor_cover,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_line_windows": linededup.SQL.format(docs="documents"),
+}
