@@ -68,6 +68,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rebuilt.select(*columns, total.cast("long").alias(n_lines), removed.cast("long").alias(n_removed))
 
 
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the remaining text, columns unchanged; ``length_col``, if there is one, counts its characters anew."""
+    out = dedup_lines(docs, id_col, text_col)
+    kinds = dict(docs.dtypes)
+    return out.select(*[F.length(text_col).cast(kinds[c]).alias(c) if c == length_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """What the query returns: counts, length and SHA-256 of each document's remaining text."""
     out = dedup_lines(docs.select("doc_id", "text"))

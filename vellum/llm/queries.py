@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import linededup, quality, sharding, simhash, urlfilter
+from vellum.llm import bpe, decontaminate, linededup, quality, sharding, simhash, urlfilter
 from vellum.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def op1_url_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
@@ -20,10 +23,18 @@ def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,7 +43,9 @@ QUERIES = {
     "op1_url_boosted_trees": op1_url_boosted_trees,
     "op3_quality_mcd": op3_quality_mcd,
     "op4_line_windows": op4_line_windows,
+    "op6_bpe_word_table": op6_bpe_word_table,
     "op7_ring_shards": op7_ring_shards,
+    "op9_latent_decontamination": op9_latent_decontamination,
     "op10_simhash_anchor_cover": op10_simhash_anchor_cover,
 }
 
