@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, decontaminate, linededup, quality, sharding, simhash, urlfilter
+from vellum.llm import bpe, decontaminate, linededup, perspectives, quality, sharding, simhash, tokenfile, urlfilter
 from vellum.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,6 +15,10 @@ def op1_url_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op3_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_arrow_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op6_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -41,8 +49,10 @@ def op10_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_boosted_trees": op1_url_boosted_trees,
+    "op2_perspective_rotation": op2_perspective_rotation,
     "op3_quality_mcd": op3_quality_mcd,
     "op4_line_windows": op4_line_windows,
+    "op5_arrow_token_stream": op5_arrow_token_stream,
     "op6_bpe_word_table": op6_bpe_word_table,
     "op7_ring_shards": op7_ring_shards,
     "op9_latent_decontamination": op9_latent_decontamination,
@@ -50,5 +60,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_perspective_rotation": perspectives.SQL,
     "op4_line_windows": linededup.SQL.format(docs="documents"),
 }
