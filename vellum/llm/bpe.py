@@ -22,7 +22,7 @@ from vellum.llm.common import ship
 from vellum.llm.wordtokens import WordIds
 
 #: Bytes of text in a block; what a task holds is a few times this.
-BLOCK_BYTES = 48_000_000
+BLOCK_BYTES = 24_000_000
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
@@ -90,20 +90,19 @@ def _answers(asks: DataFrame, parts: int, tokenizer_json: str) -> DataFrame:
     return asks.repartition(parts, "part").mapInArrow(run, "block int, words binary, ids binary, sizes binary, width int")
 
 
-def _table(answers: pa.Table) -> dict[bytes, np.ndarray]:
-    table, unzip = {}, zstandard.ZstdDecompressor()
-    for words, ids, sizes, width in zip(*[answers.column(c).to_pylist() for c in ("words", "ids", "sizes", "width")], strict=True):
-        flat = np.frombuffer(unzip.decompress(ids), f"<u{width}")
-        ends = np.cumsum(np.frombuffer(unzip.decompress(sizes), "<u4")).tolist()
-        at = 0
-        for w, end in zip(unzip.decompress(words).split(b"\n"), ends, strict=True):
-            table[w] = flat[at:end]
-            at = end
-    return table
+def _answered(answers: pa.Table) -> Iterator[tuple[bytes, list[int]]]:
+    """(word, ids) of every distinct word of a block, chunk by chunk."""
+    unzip = zstandard.ZstdDecompressor()
+    for cells in zip(*[answers.column(c) for c in ("words", "ids", "sizes", "width")], strict=True):
+        words, ids, sizes, width = (c.as_py() for c in cells)
+        flat, at = np.frombuffer(unzip.decompress(ids), f"<u{width}").tolist(), 0
+        for w, n in zip(unzip.decompress(words).split(b"\n"), np.frombuffer(unzip.decompress(sizes), "<u4").tolist(), strict=True):
+            yield w, flat[at : at + n]
+            at += n
 
 
 def _joined(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, block_bytes: int, finish, schema: str) -> DataFrame:
-    """Blocks of texts cogrouped with their words' ids; ``finish(table, ids, bodies, pieces)`` makes the rows."""
+    """Blocks of texts cogrouped with their words' ids; ``finish(answered words, ids, bodies, tokenizer)`` makes the rows."""
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -114,7 +113,7 @@ def _joined(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, bl
     code = spark.sparkContext.broadcast(tokenizer_json)
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        return finish(_table(words), texts.column("id"), texts.column("body"), code.value)
+        return finish(_answered(words), texts.column("id"), texts.column("body"), code.value)
 
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
@@ -134,11 +133,11 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """(id, ids array<int>) of every row; a null or blank text has no ids. Repeated rows and null ids stay."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def finish(table, ids, bodies, _):
-        unzip, out = zstandard.ZstdDecompressor(), []
+    def finish(answered, ids, bodies, _):
+        unzip, out, table = zstandard.ZstdDecompressor(), [], {w: np.array(found, np.int32) for w, found in answered}
         for b in bodies:
             found = [table[w] for w in unzip.decompress(b.as_py()).split()]
-            out.append(np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32))
+            out.append(np.concatenate(found) if found else np.empty(0, np.int32))
         return pa.table({"id": ids, "ids": pa.array(out, pa.list_(pa.int32()))})
 
     return _joined(docs, tokenizer_path, id_col, text_col, block_bytes, finish, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -162,20 +161,20 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def finish(table, ids, bodies, tokenizer_json):
-        names = pieces(tokenizer_json)
-        digits, decoded, sizes = {}, {}, {}
-        for w, found in table.items():  # each distinct word is joined to its pieces once
-            found = found.tolist()
-            digits[w], decoded[w], sizes[w] = " ".join(map(str, found)), " ".join([names[i] for i in found]), len(found)
-        silent = {w for w, n in sizes.items() if not n}  # such as a word of control characters only
+    def finish(answered, ids, bodies, tokenizer_json):
+        names, digits, decoded, silent = pieces(tokenizer_json), {}, {}, set()
+        for w, found in answered:  # each distinct word is joined to its pieces once
+            digits[w], decoded[w] = " ".join(map(str, found)), " ".join([names[i] for i in found])
+            if not found:  # such as a word of control characters only
+                silent.add(w)
         unzip, counts, first, second = zstandard.ZstdDecompressor(), [], [], []
         for b in bodies:
             found = unzip.decompress(b.as_py()).split()
             if silent:
                 found = [w for w in found if w not in silent]
-            counts.append(sum(map(sizes.__getitem__, found)))
-            first.append(hashlib.sha256(" ".join(map(digits.__getitem__, found)).encode()).hexdigest())
+            joined = " ".join(map(digits.__getitem__, found))
+            counts.append(joined.count(" ") + 1 if joined else 0)
+            first.append(hashlib.sha256(joined.encode()).hexdigest())
             second.append(hashlib.sha256(" ".join(map(decoded.__getitem__, found)).encode()).hexdigest())
         return pa.table({"id": ids, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": first, "decoded_sha256": second})
 

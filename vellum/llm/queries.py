@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, decontaminate, linededup, perspectives, quality, sharding, simhash, tokenfile, urlfilter
+from vellum.llm import bpe, decontaminate, linededup, passages, perspectives, quality, sharding, simhash, tokenfile, urlfilter
 from vellum.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_arrow_token_stream": op5_arrow_token_stream,
     "op6_bpe_word_table": op6_bpe_word_table,
     "op7_ring_shards": op7_ring_shards,
+    "op8_compact_windows": op8_compact_windows,
     "op9_latent_decontamination": op9_latent_decontamination,
     "op10_simhash_anchor_cover": op10_simhash_anchor_cover,
 }
