@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import ship as ship  # noqa: PLC0414
+
 #: Words are maximal runs of characters other than the six ASCII white-space characters.
 SPACES = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -51,26 +50,6 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_vellum_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in sorted(os.walk(top)):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
-    target = os.path.join(tempfile.mkdtemp(prefix="vellum-code-"), "vellum_code.zip")
-    with open(target, "wb") as f:
-        f.write(packed.getvalue())
-    sc.addPyFile(target)
-    sc._vellum_shipped = True
-
-
 def words(text: Column) -> Column:
     """The array of words of a text; null and blank texts have none."""
     inner = F.btrim(text, F.lit(SPACE_CHARS))

@@ -141,7 +141,13 @@ def fit(stats: DataFrame) -> DataFrame:
 def _counted(docs: DataFrame, keep: list[Column], text_col: str, lang_col: str, source_col: str) -> DataFrame:
     keys = [F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("g_lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("g_source")]
     df = counts(docs, F.col(text_col), [*keep, *keys])
-    return df.select("*", *vector())
+    # the id, which filters refer to, keeps them from being pushed into the projections below, where the array columns would be
+    # worked out again for each element
+    return df.select("*", *vector(), F.monotonically_increasing_id().alias("barrier_"))
+
+
+def _where(df: DataFrame, condition: Column) -> DataFrame:
+    return df.where(condition & (F.col("barrier_") >= 0))
 
 
 def _apply(counted: DataFrame, where: DataFrame, model: DataFrame) -> DataFrame:
@@ -168,9 +174,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, columns unchanged. Texts are counted where they lie (twice) and never shuffled."""
-    stats = _counted(docs, [], text_col, lang_col, source_col).where(~F.col("base_failed"))
-    stats = cut(stats.select("g_lang", "g_source", *[k for k, _ in STATS]))
+    stats = _counted(docs, [], text_col, lang_col, source_col)
+    stats = cut(_where(stats, ~F.col("base_failed")).select("g_lang", "g_source", *[k for k, _ in STATS]))
     where = groups(stats)
     model = fit(cut(stats.join(sized(where), ["g_lang", "g_source"]).select("grp", *[k for k, _ in STATS])))
     counted = _counted(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")], text_col, lang_col, source_col)
-    return _apply(counted, where, model).where("kept").select("row_.*")
+    return _where(_apply(counted, where, model), F.col("kept")).select("row_.*")
