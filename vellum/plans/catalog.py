@@ -1,6 +1,8 @@
-"""Registered queries over the driver tables, each with its DuckDB twin."""
+"""Registered queries over the driver tables, each with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from vellum.plans import page_queries, text_queries
+
+QUERIES: dict = {**text_queries.QUERIES, **page_queries.QUERIES}
+SQL: dict[str, str] = {**text_queries.SQL, **page_queries.SQL}
