@@ -30,7 +30,7 @@ def cascade(lines: DataFrame, small: Recognizer | None, middle: Recognizer | Non
     """
     kind = G.near_bucket(F.col("char_count")) if bucket is None else bucket
     small, middle = small or large, middle or large
-    rows = lines.withColumn("kind_", kind)
+    rows = lines.withColumn("kind_", kind).persist()  # five branches read it; clear the cache when done
     three, two, rest = rows.where("kind_ = 3.0"), rows.where("kind_ = 2.0"), rows.where("not (kind_ <=> 3.0) and not (kind_ <=> 2.0)")
     n = F.length("text")
     by_small = small(three)
@@ -51,6 +51,7 @@ def cascade_any_bucket(lines: DataFrame, small: Recognizer, middle: Recognizer,
 def split_long(found: DataFrame, large: Recognizer, threshold: int = 80) -> DataFrame:
     """Recognised texts of ``threshold`` characters on lines four times as wide as high are read again in two halves."""
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    found = found.persist()
     long = (F.length("text") >= threshold) & (width >= 4 * height) & (F.expr("(x1 - x0) div 2") > 0)
     keys = ["page_id", "det_id"]
     todo = found.where(long)

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 
-PAGE = Window.partitionBy("page_id").orderBy("line_idx")
-SO_FAR = PAGE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _page():
+    return Window.partitionBy("page_id").orderBy("line_idx")
+
+
+def _so_far():
+    return _page().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def drop_decoration(lines: DataFrame) -> DataFrame:
@@ -26,7 +30,7 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 def trim_context(lines: DataFrame) -> DataFrame:
     """Before a section boundary, a dangling ``(1`` and then a dangling ``第`` go."""
     dangling = F.regexp_replace(F.regexp_replace("text", r"\(1$", ""), "第$", "")
-    after = F.lead("text").over(PAGE)
+    after = F.lead("text").over(_page())
     return lines.withColumn("text", T.trim(F.when(T.is_boundary(after), dangling).otherwise(F.col("text"))))
 
 
@@ -35,12 +39,12 @@ def merge_pairs(lines: DataFrame, mergeable: Column, merged: Column) -> DataFram
 
     ``mergeable`` and ``merged`` may use text and next_text.
     """
-    df = lines.withColumn("next_text", F.lead("text").over(PAGE))
+    df = lines.withColumn("next_text", F.lead("text").over(_page()))
     df = df.withColumns({"m_": F.coalesce(mergeable & F.col("next_text").isNotNull(), F.lit(False)), "new_": merged})
-    last_break = F.last(F.when(~F.col("m_"), F.col("n_")), ignorenulls=True).over(SO_FAR)
-    df = df.withColumn("n_", F.row_number().over(PAGE)).withColumn("b_", F.coalesce(last_break, F.lit(0)))
+    last_break = F.last(F.when(~F.col("m_"), F.col("n_")), ignorenulls=True).over(_so_far())
+    df = df.withColumn("n_", F.row_number().over(_page())).withColumn("b_", F.coalesce(last_break, F.lit(0)))
     df = df.withColumn("head_", F.col("m_") & ((F.col("n_") - F.col("b_")) % 2 == 1))
-    df = df.withColumn("gone_", F.coalesce(F.lag("head_").over(PAGE), F.lit(False)))
+    df = df.withColumn("gone_", F.coalesce(F.lag("head_").over(_page()), F.lit(False)))
     return df.where(~F.col("gone_")).select("page_id", "line_idx", F.when(F.col("head_"), F.col("new_")).otherwise(F.col("text")).alias("text"))
 
 
@@ -54,15 +58,15 @@ def merge_split_digits(lines: DataFrame) -> DataFrame:
 def _joined(lines: DataFrame, joins: Column, piece: Column) -> DataFrame:
     """Concatenates each island of lines that join to the one before; ``piece`` is what a line contributes."""
     df = lines.withColumn("j_", F.coalesce(joins, F.lit(False)))
-    df = df.withColumn("follows_", F.coalesce(F.lead("j_").over(PAGE), F.lit(False)))
-    df = df.withColumn("island_", F.sum((~F.col("j_")).cast("int")).over(SO_FAR)).withColumn("piece_", piece)
+    df = df.withColumn("follows_", F.coalesce(F.lead("j_").over(_page()), F.lit(False)))
+    df = df.withColumn("island_", F.sum((~F.col("j_")).cast("int")).over(_so_far())).withColumn("piece_", piece)
     parts = F.sort_array(F.collect_list(F.struct("line_idx", "piece_")))
     return df.groupBy("page_id", "island_").agg(F.min("line_idx").alias("line_idx"), parts.alias("parts_")).select("page_id", "line_idx", F.array_join(F.transform("parts_", lambda p: p.piece_), "").alias("text"))
 
 
 def join_hyphenated(lines: DataFrame) -> DataFrame:
     """A word broken by a hyphen at the line end is joined with the next line; joins may follow one another."""
-    before = T.trim_end(F.lag("text").over(PAGE))
+    before = T.trim_end(F.lag("text").over(_page()))
     here = T.trim_start(F.col("text"))
     joins = before.rlike("[A-Za-z]-$") & here.rlike("^[A-Za-z]") & ~T.is_boundary(here)
     head = F.when(F.col("j_"), T.trim_start(F.col("text"))).otherwise(F.col("text"))
@@ -72,7 +76,7 @@ def join_hyphenated(lines: DataFrame) -> DataFrame:
 
 def drop_repeats(lines: DataFrame) -> DataFrame:
     """A line equal to the one before goes."""
-    return lines.withColumn("before_", F.lag("text").over(PAGE)).where(~F.coalesce(F.col("before_") == F.col("text"), F.lit(False))).drop("before_")
+    return lines.withColumn("before_", F.lag("text").over(_page())).where(~F.coalesce(F.col("before_") == F.col("text"), F.lit(False))).drop("before_")
 
 
 def structural_rules(lines: DataFrame) -> DataFrame:

@@ -288,11 +288,11 @@ def _split(source: str, out: str, threshold: int) -> str:
 
 _FOUND = "SELECT page_id, det_id, text, round(mean_confidence, 6) AS mean_confidence FROM "
 _RECOGNIZED = with_views("crops", more=_cascade("crops", "f1", _NEAR, 25, 45, 30, 50, 100) + ", " + _split("f1", "f2", 80) + rf", done AS (SELECT *, {_ORDER} AS line_idx FROM f2 WHERE mean_confidence >= 0.30 AND regexp_matches(text, '[^\s]'))")
-_PIXELS = with_views("pixels", more="""ink AS (SELECT page_id, y, count_if(r + g + b < 660) AS ink FROM pixels GROUP BY ALL),
+_PIXELS = with_views("pixels", more="""ink AS (SELECT page_id, y, count_if(r + g + b < 660) AS ink FROM pixels GROUP BY page_id, y),
   isl AS (SELECT page_id, y, sum(new) OVER (PARTITION BY page_id ORDER BY y) AS island FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page_id ORDER BY y) <= 3 THEN 0 ELSE 1 END AS new FROM ink WHERE ink >= greatest(8, 240 // 80))),
   spans AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY y0) - 1 AS span, y0, y1 FROM (SELECT page_id, min(y) AS y0, CASE WHEN 139 - max(y) <= 2 THEN 140 ELSE max(y) + 1 END AS y1 FROM isl GROUP BY page_id, island) WHERE y1 > y0 + 6),
-  cols AS (SELECT s.page_id, span, y0, y1, x, count(*) AS ink, max(count(*)) OVER (PARTITION BY s.page_id, span) AS most FROM spans s JOIN pixels p ON s.page_id = p.page_id AND y >= y0 AND y < y1 WHERE r + g + b < 660 GROUP BY ALL),
-  bounds AS (SELECT page_id, span, min(x) AS l, max(x) AS r FROM cols WHERE ink >= greatest(1, (y1 - y0) // 8, ceil(most * 0.15::DOUBLE)) GROUP BY ALL),
+  cols AS (SELECT *, max(ink) OVER (PARTITION BY page_id, span) AS most FROM (SELECT s.page_id, span, y0, y1, x, count(*) AS ink FROM spans s JOIN pixels p ON s.page_id = p.page_id AND y >= y0 AND y < y1 WHERE r + g + b < 660 GROUP BY s.page_id, span, y0, y1, x)),
+  bounds AS (SELECT page_id, span, min(x) AS l, max(x) AS r FROM cols WHERE ink >= greatest(1, (y1 - y0) // 8, ceil(most * 0.15::DOUBLE)) GROUP BY page_id, span),
   bands AS (SELECT s.page_id, s.span, coalesce(greatest(l - 2, 0), 0)::INT AS x0, greatest(y0 - 1, 0)::INT AS y0, greatest(coalesce(least(r + 3, 240), 240), coalesce(greatest(l - 2, 0), 0) + 1)::INT AS x1, least(y1 + 1, 140)::INT AS y1 FROM spans s LEFT JOIN bounds b ON s.page_id = b.page_id AND s.span = b.span)""")
 _TOKENS = "am AS (SELECT line_id, t, arg_max(c, (v, -c)) AS i, 1.0 / sum(exp(v - m)) AS p FROM (SELECT *, max(v) OVER (PARTITION BY line_id, t) AS m FROM logits) GROUP BY line_id, t)"
 _METRICS = with_views("pred", more=f"fm AS (SELECT system, relpath, levenshtein(a, b) AS char_errors, length(a) AS char_total FROM (SELECT p.system, p.relpath, {TQ.folded('t.text', 'strict')} AS a, {TQ.folded('p.text', 'strict')} AS b FROM truth t JOIN pred p ON t.relpath = p.relpath)), sm AS (SELECT system, count(*) AS matched, sum(char_errors) AS char_errors, sum(char_total) AS char_total, sum(char_errors) / sum(char_total)::DOUBLE AS cer FROM fm GROUP BY system)")
