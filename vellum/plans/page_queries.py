@@ -257,8 +257,8 @@ QUERIES = {
 
 _B = "page_id, det_id, class_name, x0, y0, x1, y1"
 _N = "greatest(1, floor((x1 - x0) / greatest(y1 - y0, 1)::DOUBLE * 2.5 + 0.5))::INT"
-_BUCKET = f"CASE WHEN {_N} <= 25 THEN 3.0 WHEN {_N} <= 45 THEN 2.0 ELSE 100.0 END"
-_NEAR = "CASE WHEN abs(char_count - 3.0) < 0.2 THEN 3.0 WHEN abs(char_count - 2.0) < 0.2 THEN 2.0 ELSE 100.0 END"
+_BUCKET = f"CASE WHEN {_N} <= 25 THEN 3.0 WHEN {_N} <= 45 THEN 2.0 ELSE 100.0 END::DOUBLE"
+_NEAR = "CASE WHEN abs(char_count - 3.0) < 0.2 THEN 3.0 WHEN abs(char_count - 2.0) < 0.2 THEN 2.0 ELSE 100.0 END::DOUBLE"
 _INSIDE = f"starts_with(class_name, 'line_') AND x0 >= 0 AND y0 >= 0 AND x1 > x0 AND y1 > y0 AND x1 <= {WIDTH} AND y1 <= {HEIGHT}"
 _BATCH = f"batch AS (SELECT *, y1 - y0 > x1 - x0 AS is_vertical FROM detections WHERE {_INSIDE})"
 _ORDER = "row_number() OVER (PARTITION BY page_id ORDER BY is_vertical DESC, CASE WHEN is_vertical THEN -x0 ELSE y0 END, CASE WHEN is_vertical THEN y0 ELSE x0 END, det_id) - 1"
