@@ -148,9 +148,16 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
     ship(encoded.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         table = pieces(f.read())
-    pairs = encoded.sparkSession.createDataFrame(list(enumerate(table)), "token int, piece string")  # the vocabulary
-    whole = pairs.agg(F.array_sort(F.collect_list(F.struct("token", "piece"))).alias("pieces")).select(F.transform("pieces", lambda p: p.piece).alias("pieces"))
-    return encoded.join(F.broadcast(whole)).select(id_col, F.array_join(F.transform(ids_col, lambda i: F.get("pieces", i)), " ").alias("text"))
+    held = encoded.sparkSession.sparkContext.broadcast(table)  # the vocabulary
+    kind = encoded.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = held.value
+        for batch in batches:
+            texts = [" ".join([names[i] for i in ids.as_py() or ()]) for ids in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
+
+    return encoded.select(F.col(id_col).alias("id"), ids_col).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -78,12 +78,15 @@ def seed_labels(df: DataFrame) -> Column:
     return F.when(F.length("host_") > 0, F.arrays_overlap(parts, F.array(*map(F.lit, SEED_TERMS))).cast("double"))
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """(suffix_, suffix_rate, suffix_share): the smoothed rate of unwanted URLs and the log share of each last host label."""
+def suffix_statistics(labelled: DataFrame, total: dict[float, int]) -> DataFrame:
+    """(suffix_, suffix_rate, suffix_share): the smoothed rate of unwanted URLs and the log share of each last host label.
+
+    ``total`` has the number of rows of each label.
+    """
+    rows, bad = float(sum(total.values())), float(total.get(1.0, 0))
     by = labelled.groupBy("suffix_").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
-    whole = by.agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))  # one row
-    rate = (F.col("bad") + 20.0 * F.col("all_bad") / F.col("all_n")) / (F.col("n") + 20.0)
-    return cut(by.join(F.broadcast(whole)).select("suffix_", rate.alias("suffix_rate"), F.log(F.col("n") / F.col("all_n")).alias("suffix_share")))
+    rate = (F.col("bad") + 20.0 * bad / rows) / (F.col("n") + 20.0)
+    return cut(by.select("suffix_", rate.alias("suffix_rate"), F.log(F.col("n") / rows).alias("suffix_share")))
 
 
 def with_suffixes(df: DataFrame, suffixes: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ def fit(labelled: DataFrame, trees: int = 10, depth: int = 3, sample_rows: int =
     if len(total) < 2:
         return None
     share = min(1.0, sample_rows / sum(total.values()))
-    suffixes = suffix_statistics(labelled)
+    suffixes = suffix_statistics(labelled, total)
     sample = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "url_"), F.lit(1_000_000)) < int(share * 1_000_000))
     ready = cut(with_suffixes(sample, suffixes).select(*FEATURES, "label"))
     if ready.select("label").distinct().count() < 2:
