@@ -86,8 +86,11 @@ class SequenceFile:
         if k < 0 or not self.batch_bytes or at >= self.file.size():
             raise IndexError(k)
         self.file.seek(at)
-        message = pa.ipc.read_message(self.file)
-        if message is None or message.type != "record batch":
+        try:
+            message = pa.ipc.read_message(self.file)
+        except EOFError:  # the mark at the end of the stream
+            raise IndexError(k) from None
+        if message.type != "record batch":
             raise IndexError(k)
         batch = pa.ipc.read_record_batch(message, self.schema)
         if k % self.batch_rows >= batch.num_rows:
