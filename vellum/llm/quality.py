@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import SPACES, cut, sized, words
+from vellum.llm.common import SPACES, cut, sized, stored, words
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -173,10 +173,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, columns unchanged. Texts are counted where they lie (twice) and never shuffled."""
-    stats = _counted(docs, [], text_col, lang_col, source_col)
-    stats = cut(_where(stats, ~F.col("base_failed")).select("g_lang", "g_source", *[k for k, _ in STATS]))
-    where = groups(stats)
-    model = fit(cut(stats.join(sized(where), ["g_lang", "g_source"]).select("grp", *[k for k, _ in STATS])))
-    counted = _counted(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")], text_col, lang_col, source_col)
-    return _where(_apply(counted, where, model), F.col("kept")).select("row_.*")
+    """The rows of ``docs`` that pass, columns unchanged. Rows that pass the base rule are written once beside their
+    statistics; the estimates read the statistics alone, and texts are never shuffled."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    passed = _where(_counted(docs, [row], text_col, lang_col, source_col), ~F.col("base_failed"))
+    names = [k for k, _ in STATS]
+    passed = stored(passed.select("row_", "base_failed", "g_lang", "g_source", *names), "quality")
+    where = groups(passed)
+    model = fit(cut(passed.join(sized(where), ["g_lang", "g_source"]).select("grp", *names)))
+    return _apply(passed, where, model).where("kept").select("row_.*")
