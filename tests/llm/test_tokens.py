@@ -82,6 +82,17 @@ def test_token_files(spark, sf, tokenizer, tmp_path):
     assert len(whole) == start
 
 
+def test_a_row_repeated_many_times_is_one_row_of_a_block(spark, tokenizer):
+    text = " ".join(f"word{i} and" for i in range(300))
+    docs = spark.range(100_000).selectExpr("cast(7 as bigint) as doc_id", f"'{text}' as text").unionByName(spark.createDataFrame([(8, "x")], "doc_id bigint, text string"))
+    blocked, blocks = bpe._blocks(docs, "doc_id", "text", bpe.BLOCK_BYTES)
+    assert blocked.where("id = 7").count() <= 200 and blocks > 8
+    found = bpe.round_trip(docs, PATH).groupBy("doc_id", "n_tokens", "ids_sha256").count().collect()
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert {(r.doc_id, r["count"]) for r in found} == {(7, 100_000), (8, 1)}
+    assert next(r for r in found if r.doc_id == 7).ids_sha256 == sha(" ".join(map(str, ids)))
+
+
 def test_empty(spark):
     assert bpe.round_trip(empty(spark), PATH).count() == 0
     assert tokenfile.written_and_read(empty(spark), PATH).count() == 0

@@ -1,9 +1,12 @@
 """BPE encoding and decoding by a table of distinct words.
 
 Texts are dealt into blocks of bounded size. Each block's distinct words go to the task that their hash names; there
-each distinct word of the corpus is encoded once, and its ids and its decoded form (by the id-to-piece table) go back to
-the blocks that asked. A block then joins them to the word positions of its texts. Words travel as one compressed chunk
-per block and hash range, texts once and compressed, so nothing the size of the token stream is ever shuffled.
+each distinct word of the corpus is encoded once, and its ids go back to the blocks that asked. A block then joins them to
+the word positions of its texts, and the ids to the id-to-piece table. Words travel as one compressed chunk per block and
+hash range, texts once and compressed, so nothing the size of the token stream is ever shuffled.
+
+Rows that agree in id and text are one row with a count, from the first task that sees two of them on, so a block stays
+bounded whatever repeats.
 """
 
 from __future__ import annotations
@@ -18,15 +21,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import ship
+from vellum.llm.common import repeated, ship
 from vellum.llm.wordtokens import WordIds
 
-#: Bytes of text in a block; what a task holds is a few times this.
+#: Bytes of text in a block; what a task holds is about the size of one block and its distinct words.
 BLOCK_BYTES = 24_000_000
+#: Partitions that the blocks are dealt into at most; a task takes its blocks one after the other.
+MAX_PARTITIONS = 50_000
+#: Hash ranges of words; a task holds the distinct words of one range at a time.
+MAX_PARTS = 16_384
+#: Ids that are turned into text in one go.
+STRETCH = 1 << 18
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """(block, id, body): body is the compressed text, hashed into blocks by id and text."""
+    """(block, id, body, copies): body is the compressed text, dealt into blocks by id and text."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("body"))
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
@@ -36,86 +45,108 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tu
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            bodies = pa.array([squeeze.compress(b.as_py() or b"") for b in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bodies], ["block", "id", "body"])
+            first: dict[tuple, int] = {}
+            counts: list[int] = []
+            kept: list[int] = []
+            for i, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                k = first.setdefault(key, len(counts))
+                if k == len(counts):
+                    counts.append(0)
+                    kept.append(i)
+                counts[k] += 1
+            bodies = pa.array([squeeze.compress(b or b"") for _, b in first], pa.binary())
+            some = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), bodies, pa.array(counts, pa.int64())], ["block", "id", "body", "copies"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(pack, f"block int, id {kind}, body binary").repartition(blocks, "block"), blocks
-
-
-def _distinct(bodies: pa.ChunkedArray | pa.Array) -> set[bytes]:
-    found, squeeze = set(), zstandard.ZstdDecompressor()
-    for b in bodies:
-        found.update(squeeze.decompress(b.as_py()).split())
-    return found
+    return rows.mapInArrow(pack, f"block int, id {kind}, body binary, copies bigint").repartition(min(blocks, MAX_PARTITIONS), "block"), blocks
 
 
 def _asks(blocked: DataFrame, parts: int) -> DataFrame:
     """(part, block, words): the sorted distinct words of each block, one chunk per hash range."""
 
+    def chunks(block: int, found: set[bytes]) -> Iterator[pa.RecordBatch]:
+        dealt: list[list[bytes]] = [[] for _ in range(parts)]
+        for w in sorted(found):
+            dealt[zlib.crc32(w) % parts].append(w)
+        squeeze = zstandard.ZstdCompressor(level=6)
+        for part, chunk in enumerate(dealt):
+            if chunk:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([squeeze.compress(b"\n".join(chunk))], pa.binary())], ["part", "block", "words"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_block: dict[int, set[bytes]] = {}
+        held, found, squeeze = None, set(), zstandard.ZstdDecompressor()
         for batch in batches:
-            blocks = np.asarray(batch.column(0))
-            for block in np.unique(blocks):
-                by_block.setdefault(int(block), set()).update(_distinct(batch.column(2).filter(pa.array(blocks == block))))
-        for block, found in by_block.items():
-            chunks: list[list[bytes]] = [[] for _ in range(parts)]
-            for w in sorted(found):
-                chunks[zlib.crc32(w) % parts].append(w)
-            squeeze = zstandard.ZstdCompressor(level=6)
-            for part, chunk in enumerate(chunks):
-                if chunk:
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([squeeze.compress(b"\n".join(chunk))], pa.binary())], ["part", "block", "words"])
-
-    return blocked.select("block", "id", "body").mapInArrow(run, "part int, block int, words binary")
-
-
-def _answers(asks: DataFrame, parts: int, tokenizer_json: str) -> DataFrame:
-    """(block, words, ids, sizes): the chunks with each word's ids; a task sees all blocks' words of its hash ranges."""
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if block != held and found:
+                    yield from chunks(held, found)
+                    found = set()
+                held = block
+                found.update(squeeze.decompress(body.as_py()).split())
+        if found:
+            yield from chunks(held, found)
+
+    return blocked.sortWithinPartitions("block").mapInArrow(run, "part int, block int, words binary")
+
+
+def _answers(asks: DataFrame, parts: int, tokenizer_json: str, width: int) -> DataFrame:
+    """(block, words, ids, sizes): the chunks with each word's ids. All chunks of a hash range meet in one task, one range after
+    the other, so that a word is encoded once."""
     code = asks.sparkSession.sparkContext.broadcast(tokenizer_json)  # the vocabulary file, a few MB whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(code.value, 4)
+        ids, held = WordIds(code.value, width, limit=None), None
         unzip, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for block, words in zip(batch.column(1), batch.column(2), strict=True):
-                got = [ids[w] for w in unzip.decompress(words.as_py()).split(b"\n")]
-                sizes = np.fromiter((len(g) >> 2 for g in got), "<u4", len(got))
-                flat = np.frombuffer(b"".join(got), "<u4")
-                flat = flat.astype("<u2") if not len(flat) or flat.max() < 1 << 16 else flat
-                cells = [pa.array([block.as_py()], pa.int32()), pa.array([words.as_py()], pa.binary()), pa.array([squeeze.compress(flat.tobytes())], pa.binary()), pa.array([squeeze.compress(sizes.tobytes())], pa.binary()), pa.array([flat.itemsize], pa.int32())]
-                yield pa.RecordBatch.from_arrays(cells, ["block", "words", "ids", "sizes", "width"])
+            for part, block, words in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                if part != held:
+                    ids.clear()
+                    held = part
+                got = [ids[w] for w in unzip.decompress(words).split(b"\n")]
+                sizes = np.fromiter(map(len, got), "<u4", len(got))
+                cells = [pa.array([block], pa.int32()), *[pa.array([b], pa.binary()) for b in (words, squeeze.compress(b"".join(got)), squeeze.compress(sizes.tobytes()))]]
+                yield pa.RecordBatch.from_arrays(cells, ["block", "words", "ids", "sizes"])
 
-    return asks.repartition(parts, "part").mapInArrow(run, "block int, words binary, ids binary, sizes binary, width int")
+    return asks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "block int, words binary, ids binary, sizes binary")
 
 
-def _answered(answers: pa.Table) -> Iterator[tuple[bytes, list[int]]]:
-    """(word, ids) of every distinct word of a block, chunk by chunk."""
-    unzip = zstandard.ZstdDecompressor()
-    for cells in zip(*[answers.column(c) for c in ("words", "ids", "sizes", "width")], strict=True):
-        words, ids, sizes, width = (c.as_py() for c in cells)
-        flat, at = np.frombuffer(unzip.decompress(ids), f"<u{width}").tolist(), 0
-        for w, n in zip(unzip.decompress(words).split(b"\n"), np.frombuffer(unzip.decompress(sizes), "<u4").tolist(), strict=True):
-            yield w, flat[at : at + n]
-            at += n
+def _table(answers: pa.Table) -> dict[bytes, bytes]:
+    """Packed ids of every distinct word of a block."""
+    unzip, table = zstandard.ZstdDecompressor(), {}
+    for cells in zip(*[answers.column(c) for c in ("words", "ids", "sizes")], strict=True):
+        words, ids, sizes = (unzip.decompress(c.as_py()) for c in cells)
+        ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+        table.update(zip(words.split(b"\n"), map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+    return table
 
 
 def _joined(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, block_bytes: int, finish, schema: str) -> DataFrame:
-    """Blocks of texts cogrouped with their words' ids; ``finish(answered words, ids, bodies, tokenizer)`` makes the rows."""
+    """Blocks of texts cogrouped with their words' ids; ``finish(ids of each text, pieces)`` makes the columns beside id.
+
+    ``finish`` is given an iterator of the integer arrays of ids and the id-to-piece table, and returns a list of columns.
+    """
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
+    names = pieces(tokenizer_json)
+    width = 2 if len(names) <= 1 << 16 else 4
     blocked, blocks = _blocks(docs, id_col, text_col, block_bytes)
-    parts = max(8, min(2 * blocks, 4096))
-    answers = _answers(_asks(blocked, parts), parts, tokenizer_json)
-    code = spark.sparkContext.broadcast(tokenizer_json)
+    parts = max(8, min(2 * blocks, MAX_PARTS))
+    answers = _answers(_asks(blocked, parts), parts, tokenizer_json, width)
+    held = spark.sparkContext.broadcast(names)  # the vocabulary
+    single = blocked.groupBy("block", "id", "body").agg(F.sum("copies").alias("copies"))
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        return finish(_answered(words), texts.column("id"), texts.column("body"), code.value)
+        table, unzip = _table(words), zstandard.ZstdDecompressor()
+        texts = texts.combine_chunks()
+        found = (np.frombuffer(b"".join(map(table.__getitem__, unzip.decompress(b.as_py()).split())), f"<u{width}") for b in texts.column("body"))
+        return pa.table([texts.column("id"), texts.column("copies"), *finish(found, held.value)], names=["id", "copies", *columns])
 
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = single.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"id {kind}, copies bigint, {schema}")
+    return repeated(made, "copies").withColumnRenamed("id", id_col)
 
 
 def pieces(tokenizer_json: str) -> list[str]:
@@ -130,21 +161,24 @@ def pieces(tokenizer_json: str) -> list[str]:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, ids array<int>) of every row; a null or blank text has no ids. Repeated rows and null ids stay."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, ids array<int>) of every row.
+
+    A null, empty or blank text has no ids; very long texts are taken whole. Rows that repeat stay, each with the same ids;
+    null ids stay. Other columns do not matter. An empty table gives an empty result.
+    """
 
-    def finish(answered, ids, bodies, _):
-        unzip, out, table = zstandard.ZstdDecompressor(), [], {w: np.array(found, np.int32) for w, found in answered}
-        for b in bodies:
-            found = [table[w] for w in unzip.decompress(b.as_py()).split()]
-            out.append(np.concatenate(found) if found else np.empty(0, np.int32))
-        return pa.table({"id": ids, "ids": pa.array(out, pa.list_(pa.int32()))})
+    def finish(found, names):
+        return [pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))]
 
-    return _joined(docs, tokenizer_path, id_col, text_col, block_bytes, finish, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return _joined(docs, tokenizer_path, id_col, text_col, block_bytes, finish, "ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text): ids joined to the id-to-piece table; pieces are joined by a space, as the tokenizer file has no decoder."""
+    """(id, text): ids joined to the id-to-piece table; pieces are joined by a space, as the tokenizer file has no decoder.
+
+    Null or empty ids give the empty text; an id outside the table is an error. Repeated rows and null ids stay; an empty
+    table gives an empty result.
+    """
     ship(encoded.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         table = pieces(f.read())
@@ -160,29 +194,28 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
     return encoded.select(F.col(id_col).alias("id"), ids_col).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
+def _digest(found: np.ndarray, table: list[str]) -> str:
+    """SHA-256 of the entries of ``table`` at ``found``, joined by a space."""
+    out = hashlib.sha256()
+    for at in range(0, len(found), STRETCH):
+        out.update(((" " if at else "") + " ".join(map(table.__getitem__, found[at : at + STRETCH].tolist()))).encode())
+    return out.hexdigest()
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of the ids in decimal and of the decoded text.
 
     A null, empty or blank text has no tokens and the digests of the empty string. Very long texts make a larger block,
-    never a cut text. Rows that repeat are encoded alike; null ids stay. An empty table gives an empty result.
+    never a cut text. Rows that repeat are encoded alike and stay; null ids stay. Other columns do not matter. An empty table
+    gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def finish(answered, ids, bodies, tokenizer_json):
-        names, digits, decoded, silent = pieces(tokenizer_json), {}, {}, set()
-        for w, found in answered:  # each distinct word is joined to its pieces once
-            digits[w], decoded[w] = " ".join(map(str, found)), " ".join([names[i] for i in found])
-            if not found:  # such as a word of control characters only
-                silent.add(w)
-        unzip, counts, first, second = zstandard.ZstdDecompressor(), [], [], []
-        for b in bodies:
-            found = unzip.decompress(b.as_py()).split()
-            if silent:
-                found = [w for w in found if w not in silent]
-            joined = " ".join(map(digits.__getitem__, found))
-            counts.append(joined.count(" ") + 1 if joined else 0)
-            first.append(hashlib.sha256(joined.encode()).hexdigest())
-            second.append(hashlib.sha256(" ".join(map(decoded.__getitem__, found)).encode()).hexdigest())
-        return pa.table({"id": ids, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": first, "decoded_sha256": second})
-
-    return _joined(docs, tokenizer_path, id_col, text_col, block_bytes, finish, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    def finish(found, names):
+        digits, counts, first, second = [str(i) for i in range(len(names))], [], [], []
+        for x in found:
+            counts.append(len(x))
+            first.append(_digest(x, digits))
+            second.append(_digest(x, names))
+        return [pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+
+    return _joined(docs, tokenizer_path, id_col, text_col, block_bytes, finish, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

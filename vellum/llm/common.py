@@ -17,6 +17,9 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast only when it has been counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
 
+#: Copies that ``repeated`` makes from one array.
+STEP = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,10 +52,19 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Like ``cut``, for wide rows: a Parquet table in the shared folder, of which later passes read the columns they need."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def repeated(df: DataFrame, count: str) -> DataFrame:
+    """Each row as often as its column ``count`` says, without that column. Copies are made
+    STEP at a time, so no array is large."""
+    many, left = fresh(df, "many_"), fresh(df, "left_")
+    rows = df.withColumn(many, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{count}` - 1) div {STEP}"))))
+    rows = rows.withColumn(left, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(STEP).cast("long"), F.col(count) - STEP * F.col(many)))))
+    return rows.drop(count, many, left)
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark an already materialised, narrow ``df`` for broadcast if it is counted to be small; else leave the join to shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -32,19 +32,20 @@ _LETTERS = _byte_letters()
 
 
 class WordIds(dict):
-    """word in UTF-8 -> its ids as packed little-endian integers; words are encoded when first asked for, then remembered."""
+    """word in UTF-8 -> its ids as packed little-endian integers; words are encoded when first asked for, then remembered,
+    up to ``limit`` of them; so are up to ``parts`` lower-cased parts of words."""
 
-    def __init__(self, tokenizer_json: str, width: int = 4, limit: int = 800_000):
+    def __init__(self, tokenizer_json: str, width: int = 4, limit: int | None = 800_000, parts: int = 100_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.width, self.limit, self.parts = width, limit, {}
+        self.width, self.limit, self.parts, self.most = width, limit, {}, parts
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= self.limit:
+            if len(self.parts) >= self.most:
                 self.parts.clear()
             spelt = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
             found = self.parts[part] = self.pack([t.id for t in self.tokenizer.model.tokenize(spelt)])
@@ -64,7 +65,7 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.encode(word.decode())
-        if len(self) >= self.limit:
+        if self.limit is not None and len(self) >= self.limit:
             self.clear()
         self[word] = ids
         return ids
