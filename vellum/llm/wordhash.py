@@ -41,9 +41,10 @@ BARE = _letters(bytes(range(33)) + b"\x7f" + string.punctuation.encode())
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     """BASE ** i and its inverse, for i up to n."""
     if not _powers or len(_powers[0]) < n:
+        n = max(n, CHUNK)
         inverse = np.uint64(pow(BASE, -1, 1 << 64))
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (np.uint64(BASE), inverse)]
     return _powers
@@ -85,7 +86,7 @@ def word_hashes(texts: pa.Array, letters: bytes = SPACED) -> tuple[np.ndarray, n
         opens[cuts] |= inside[cuts]
         closes[cuts - 1] |= inside[cuts - 1]
         first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        power, inverse = _power_tables(max(len(part), CHUNK))
+        power, inverse = power_tables(max(len(part), CHUNK))
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part * power[: len(part)], out=sums[1:])
         hashes.append(mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)))
