@@ -1,11 +1,17 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant estimates per language and source.
 
 Counts of every whole text become a vector of five transformed statistics. For each group of documents (language and
-source; small groups are pooled by language, small pools together) the estimate starts from the documents closest to
-the coordinate-wise medians, by two norms, and takes concentration steps: mean and covariance of the closest
-three quarters, new distances, and so on. The start that ends with the smaller determinant counts. A document is
-rejected if its squared Mahalanobis distance exceeds a chi-square quantile. All of it is aggregation: a group is a row
-of moments, never a list of its documents, and Cholesky factors are column expressions over that row.
+source; small groups are pooled by language, small pools together) the estimate starts from several sets of documents: those
+closest to the coordinate-wise medians, by two norms, and random ones. Concentration steps follow (mean and covariance of the
+closest three quarters, new distances, and so on) until no determinant falls any more; the start that ends with the
+smallest determinant counts. A document is rejected if its squared Mahalanobis distance exceeds a chi-square quantile.
+
+No statistic is known better than to one count, so each variance carries the square of what one more word, character,
+symbol, repeated line or repeated window would change in the group's median document. That is far less than a statistic
+scatters, unless it is the same in three quarters of the documents: there the estimate is that resolution alone.
+
+All of it is aggregation: a group is a row of moments, never a list of its documents, and Cholesky factors are column
+expressions over that row.
 """
 
 from __future__ import annotations
@@ -18,9 +24,7 @@ from vellum.llm.common import SPACES, cut, sized, stored, words
 WINDOW = 5
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
-#: The statistics and the least standard deviation each is credited with: most are zero in most documents, so that a
-#: bare covariance would be singular and one stray symbol would reject a clean text.
-STATS = (("log_words", 1.5), ("word_length", 0.3), ("symbols", 0.025), ("dup_lines", 0.1), ("repeats", 0.06))
+STATS = ("log_words", "word_length", "symbols", "dup_lines", "repeats")
 DIM = len(STATS)
 SUBSET = 0.75
 #: 1 / consistency of the covariance of the central 75 % of a five-dimensional normal: 0.75 / P(chi2_7 <= q_0.75(chi2_5)).
@@ -28,7 +32,14 @@ CONSISTENCY = 1.41
 #: The 0.99999 quantile of chi-square with 5 degrees of freedom.
 CUTOFF = 30.86
 MIN_GROUP = 60
-STEPS = 3
+#: Starts by random sets of documents, and how many are in one on average.
+RANDOM_STARTS = 4
+RANDOM_ROWS = 20
+#: A determinant has settled when its logarithm falls by less; steps lower it, so they end by themselves.
+SETTLED = 1e-6
+MAX_STEPS = 100
+#: Pseudo-counts of words, characters and lines.
+WORDS_MORE, CHARS_MORE, LINES_MORE = 50.0, 200.0, 10.0
 
 
 def counts(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
@@ -55,12 +66,23 @@ def vector() -> list[Column]:
     n, chars = F.col("n_words"), F.col("word_chars")
     made = {
         "log_words": F.log1p(n),
-        "word_length": (chars + 5.0 * 50) / (n + 50.0),
-        "symbols": F.sqrt(F.col("n_symbols") / (chars + 200.0)),
-        "dup_lines": F.col("n_dup_lines") / (F.col("n_lines") + 10.0),
-        "repeats": F.col("n_repeat_words") / (n + 50.0),
+        "word_length": (chars + 5.0 * WORDS_MORE) / (n + WORDS_MORE),
+        "symbols": F.sqrt(F.col("n_symbols") / (chars + CHARS_MORE)),
+        "dup_lines": F.col("n_dup_lines") / (F.col("n_lines") + LINES_MORE),
+        "repeats": F.col("n_repeat_words") / (n + WORDS_MORE),
     }
-    return [made[k].cast("double").alias(k) for k, _ in STATS]
+    return [made[k].cast("double").alias(k) for k in STATS]
+
+
+def resolution() -> list[Column]:
+    """What one more count changes in each statistic: a word, a character, a symbol, a repeated line, a repeated window."""
+    n, chars = F.col("n_words"), F.col("word_chars")
+    least = (1.0 / (n + 1), 1.0 / (n + WORDS_MORE), 1.0 / F.sqrt(chars + CHARS_MORE), 1.0 / (F.col("n_lines") + LINES_MORE), 2.0 * WINDOW / (n + WORDS_MORE))
+    return [v.cast("double").alias(f"r_{k}") for k, v in zip(STATS, least, strict=True)]
+
+
+#: What the estimates read of a document.
+MEASURED = (*STATS, *[f"r_{k}" for k in STATS])
 
 
 def groups(stats: DataFrame) -> DataFrame:
@@ -73,23 +95,24 @@ def groups(stats: DataFrame) -> DataFrame:
     return cut(pairs.join(pools, "g_lang", "left").select("g_lang", "g_source", F.when(large, own).otherwise(pooled).alias("grp")))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean, inverse Cholesky factor and log determinant of each (grp, start)."""
-    x = [k for k, _ in STATS]
+def _moments(rows: DataFrame, floors: DataFrame) -> DataFrame:
+    """Mean, inverse Cholesky factor and log determinant of each (grp, start); ``floors`` has each group's resolution."""
+    x = list(STATS)
     sums = [F.count(F.lit(1)).cast("double").alias("n")] + [F.avg(k).alias(f"m{i}") for i, k in enumerate(x)]
     sums += [F.avg(F.col(x[i]) * F.col(x[j])).alias(f"q{i}{j}") for i in range(DIM) for j in range(i + 1)]
-    out = rows.groupBy("grp", "start").agg(*sums)
+    out = rows.groupBy("grp", "start").agg(*sums).join(sized(floors), "grp")
+    least = [F.col(f"r_{k}") * F.col(f"r_{k}") for k in x]
     cov = {}
     for i in range(DIM):
         for j in range(i + 1):
             v = (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY
-            cov[f"c{i}{j}"] = F.greatest(v, F.lit(0.0)) + STATS[i][1] ** 2 if i == j else v
+            cov[f"c{i}{j}"] = F.greatest(v, F.lit(0.0)) + least[i] if i == j else v
     out = out.withColumns(cov)
     for j in range(DIM):  # Cholesky by columns, then the inverse of the factor by rows
         diag = F.col(f"c{j}{j}")
         for k in range(j):
             diag = diag - F.col(f"l{j}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(diag, F.lit(STATS[j][1] ** 2 / 100))))
+        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(diag, least[j] / 100)))  # rounding errors only
         for i in range(j + 1, DIM):
             v = F.col(f"c{i}{j}")
             for k in range(j):
@@ -101,7 +124,7 @@ def _moments(rows: DataFrame) -> DataFrame:
             for k in range(j, i):
                 v = v - F.col(f"l{i}{k}") * F.col(f"i{k}{j}")
             out = out.withColumn(f"i{i}{j}", v / F.col(f"l{i}{i}"))
-    log_det = sum((F.log(F.col(f"l{i}{i}")) for i in range(DIM)), F.lit(0.0))
+    log_det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(DIM)), F.lit(0.0))
     return cut(out.select("grp", "start", "n", log_det.alias("log_det"), *[f"m{i}" for i in range(DIM)], *[f"i{i}{j}" for i in range(DIM) for j in range(i + 1)]))
 
 
@@ -110,7 +133,7 @@ def _squared_distance() -> Column:
     for i in range(DIM):
         z = F.lit(0.0)
         for j in range(i + 1):
-            z = z + F.col(f"i{i}{j}") * (F.col(STATS[j][0]) - F.col(f"m{j}"))
+            z = z + F.col(f"i{i}{j}") * (F.col(STATS[j]) - F.col(f"m{j}"))
         total = total + z * z
     return total
 
@@ -122,18 +145,28 @@ def _closest(rows: DataFrame) -> DataFrame:
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """(grp + statistics) -> one row of estimates per grp. ``stats`` should be materialised; it is read about ten times."""
-    names = [k for k, _ in STATS]
-    centre = cut(stats.groupBy("grp").agg(*[F.percentile_approx(k, 0.5, 1000).alias(f"c_{k}") for k in names]))
-    off = stats.join(sized(centre), "grp").select("grp", *names, *[F.abs(F.col(k) - F.col(f"c_{k}")).alias(f"a_{k}") for k in names])
+    """(grp + MEASURED) -> one row of estimates per grp. ``stats`` should be materialised; each step reads it once."""
+    names = list(STATS)
+    medians = [F.percentile_approx(c, 0.5, 1000).alias(a) for c, a in [(k, f"c_{k}") for k in names] + [(f"r_{k}", f"r_{k}") for k in names]]
+    centre = cut(stats.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), *medians))
+    floors = centre.select("grp", *[f"r_{k}" for k in names])
+    stats = stats.select("grp", *names)
+    off = stats.join(sized(centre), "grp").select("grp", "rows", *names, *[F.abs(F.col(k) - F.col(f"c_{k}")).alias(f"a_{k}") for k in names])
     spread = cut(off.groupBy("grp").agg(*[F.percentile_approx(f"a_{k}", 0.5, 1000).alias(f"s_{k}") for k in names]))
-    z = [F.col(f"a_{k}") / F.greatest(1.4826 * F.col(f"s_{k}"), F.lit(least)) for k, least in STATS]
+    z = [F.col(f"a_{k}") / F.greatest(1.4826 * F.col(f"s_{k}"), F.col(f"r_{k}")) for k in names]
     norms = F.array(F.struct(F.lit(0).alias("start"), sum((v * v for v in z), F.lit(0.0)).alias("d")), F.struct(F.lit(1).alias("start"), F.greatest(*z).alias("d")))
-    at = off.join(sized(spread), "grp").select("grp", *names, F.explode(norms).alias("e")).select("grp", *names, "e.start", "e.d")
-    model = _moments(_closest(at))
-    for _ in range(STEPS):
+    at = off.join(sized(spread.join(floors, "grp")), "grp").select("grp", *names, F.explode(norms).alias("e")).select("grp", *names, "e.start", "e.d")
+    dealt = F.shiftrightunsigned(F.xxhash64(F.col("k"), *names), 11) / float(1 << 53)
+    drawn = off.select("grp", "rows", *names, F.explode(F.array(*[F.lit(2 + k) for k in range(RANDOM_STARTS)])).alias("k")).where(dealt * F.col("rows") < RANDOM_ROWS)
+    model = _moments(_closest(at).select("grp", "start", *names).unionByName(drawn.select("grp", F.col("k").alias("start"), *names)), floors)
+    for _ in range(MAX_STEPS):
         at = stats.join(sized(model), "grp").select("grp", *names, "start", _squared_distance().alias("d"))
-        model = _moments(_closest(at))
+        after = _moments(_closest(at), floors)
+        both = model.select("grp", "start", F.col("log_det").alias("was")).join(after, ["grp", "start"])
+        falls = not both.where(F.col("was") - F.col("log_det") > SETTLED).isEmpty()
+        model = after
+        if not falls:
+            break
     best = model.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
     return cut(model.join(best, ["grp", "start"]).drop("start"))
 
@@ -143,7 +176,7 @@ def _counted(docs: DataFrame, keep: list[Column], text_col: str, lang_col: str,
     df = counts(docs, F.col(text_col), [*keep, *keys])
     # the id, which filters refer to, keeps them from being pushed into the projections below, where the array columns would be
     # worked out again for each element
-    return df.select("*", *vector(), F.monotonically_increasing_id().alias("barrier_"))
+    return df.select("*", *vector(), *resolution(), F.monotonically_increasing_id().alias("barrier_"))
 
 
 def _where(df: DataFrame, condition: Column) -> DataFrame:
@@ -161,24 +194,24 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     A null or blank text has no words and fails the base rule. A null language or source counts as the empty string.
     Groups of under MIN_GROUP rows that passed the base rule are judged with the other small ones of their language,
-    or with all small ones; so a handful of documents is judged by very wide floors only. Ties and repeated rows get
-    equal results; null ids stay. An empty table gives an empty result.
+    or with all small ones. Ties and repeated rows get equal results; null ids stay; very long texts are counted whole;
+    other columns do not matter. An empty table gives an empty result.
     """
     stats = cut(_counted(docs, [F.col(id_col).alias("id_")], text_col, lang_col, source_col))
     passed = stats.where(~F.col("base_failed"))
     where = groups(passed)
-    model = fit(cut(passed.join(sized(where), ["g_lang", "g_source"]).select("grp", *[k for k, _ in STATS])))
+    model = fit(cut(passed.join(sized(where), ["g_lang", "g_source"]).select("grp", *MEASURED)))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
     return _apply(stats, where, model).select(F.col("id_").alias(id_col), *names)
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, columns unchanged. Rows that pass the base rule are written once beside their
+    """The rows of ``docs`` that pass, columns unchanged and judged as above: null and blank texts go, repeated rows are judged
+    alike, an empty table stays empty. Rows that pass the base rule are written once beside their
     statistics; the estimates read the statistics alone, and texts are never shuffled."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
     passed = _where(_counted(docs, [row], text_col, lang_col, source_col), ~F.col("base_failed"))
-    names = [k for k, _ in STATS]
-    passed = stored(passed.select("row_", "base_failed", "g_lang", "g_source", *names), "quality")
+    passed = stored(passed.select("row_", "base_failed", "g_lang", "g_source", *MEASURED), "quality")
     where = groups(passed)
-    model = fit(cut(passed.join(sized(where), ["g_lang", "g_source"]).select("grp", *names)))
+    model = fit(cut(passed.join(sized(where), ["g_lang", "g_source"]).select("grp", *MEASURED)))
     return _apply(passed, where, model).where("kept").select("row_.*")

@@ -1,12 +1,15 @@
 """URL filter: host-and-path rules, then gradient-boosted trees on lexical features.
 
-The trees are Spark ML's, so fitting and scoring stay in the JVM. They are trained from labelled URLs; where none are
-given, ``seed_labels`` labels a URL by a short list of spam terms that make up a whole hyphen-separated part of its
-host, and the trees generalise from the shape of such URLs.
+The trees are Spark ML's, so fitting and scoring stay in the JVM. They are trained from labelled URLs. Where none are given,
+``seed_labels`` labels a URL by a short list of terms that make up a whole hyphen-separated part of its host. The trees that
+judge a site are then fitted on other sites only: sites are dealt into folds, and each fold is scored by the trees of the
+others. So a verdict is never a label read back, and ``held_out`` tells what verdicts are worth on sites that were not seen.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,8 +23,10 @@ from vellum.llm.common import cut, fresh, sized
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: The parts of a host name that label a URL as unwanted.
 SEED_TERMS = ("ads", "adult", "bet", "bets", "casino", "loans", "lottery", "pills", "porn", "replica", "spam", "viagra", "warez", "xxx")
-#: The trees are fitted on at most about this many labelled URLs, chosen by hash.
+#: The trees are fitted on at most about this many distinct labelled URLs, chosen by hash.
 SAMPLE_ROWS = 20_000
+#: Parts that sites are dealt into where the labels are seed labels.
+FOLDS = 5
 #: A rule list is configuration; it becomes one expression.
 MAX_RULES = 1_000
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "hyphens", "labels", "parameters", "suffix_rate", "suffix_share")
@@ -72,7 +77,7 @@ def lexical(df: DataFrame) -> DataFrame:
     }).drop("chars_", "n_")
 
 
-def seed_labels(df: DataFrame) -> Column:
+def seed_labels() -> Column:
     """1.0 if a hyphen-separated part of the host is a seed term, 0.0 if not, null without a host."""
     parts = F.split("host_", "[.\\-_]")
     return F.when(F.length("host_") > 0, F.arrays_overlap(parts, F.array(*map(F.lit, SEED_TERMS))).cast("double"))
@@ -96,16 +101,16 @@ def with_suffixes(df: DataFrame, suffixes: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, trees: int = 10, depth: int = 3, sample_rows: int = SAMPLE_ROWS) -> tuple[PipelineModel, DataFrame] | None:
     """Trees and suffix statistics from rows of (lexical features, suffix_, label). None unless both labels occur.
 
-    At most about ``sample_rows`` rows are used: those whose URL hash falls below the share that gives that many. The
-    suffix statistics take every labelled row.
+    At most about ``sample_rows`` distinct URLs are used: those whose hash, as a fraction, falls below the share that gives that
+    many, at any number of rows; a URL that repeats counts once. The suffix statistics take every labelled row.
     """
     labelled = labelled.where("label is not null")
     total = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}  # at most two rows
     if len(total) < 2:
         return None
-    share = min(1.0, sample_rows / sum(total.values()))
+    share = min(1.0, sample_rows / max(1, labelled.agg(F.approx_count_distinct("url_", 0.01)).first()[0]))
     suffixes = suffix_statistics(labelled, total)
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "url_"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = labelled.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "url_"), 11) / float(1 << 53) < share).dropDuplicates(["url_", "label"])
     ready = cut(with_suffixes(sample, suffixes).select(*FEATURES, "label"))
     if ready.select("label").distinct().count() < 2:
         return None
@@ -116,29 +121,61 @@ def fit(labelled: DataFrame, trees: int = 10, depth: int = 3, sample_rows: int =
     return PipelineModel([stages, model]), suffixes
 
 
+def site(host_col: Column) -> Column:
+    """What hosts of one site have in common: the longest of the host's labels, the first of equally long ones."""
+    longest = lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best)
+    return F.aggregate(F.split(host_col, r"\."), F.lit(""), longest)
+
+
+def _read(df: DataFrame, url: str) -> DataFrame:
+    """``df`` with url_, host_ and path_."""
+    return df.withColumn("url_", F.col(url).cast("string")).withColumns({"host_": host(F.col("url_")), "path_": path(F.col("url_"))})
+
+
+def _score(rows: DataFrame, fitted: tuple[PipelineModel, DataFrame] | None) -> DataFrame:
+    if fitted is None:
+        return rows.select("*", F.lit(0.0).alias("score"))
+    model, suffixes = fitted
+    scored = model.transform(with_suffixes(lexical(rows), suffixes)).withColumn("score", F.get(vector_to_array("probability_"), F.lit(1)))
+    return scored.select(*rows.columns, "score")
+
+
+def scored(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` (with url_, host_ and path_) and their score: by the trees of ``labels``, or by those of the other folds."""
+    if labels is not None:
+        return _score(rows, fit(cut(lexical(_read(labels.select(F.col("url").alias("given_"), F.col("label").cast("double")), "given_")).drop("given_"))))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), site(F.col("host_"))), F.lit(FOLDS))
+    known = cut(lexical(rows.select("url_", "host_", "path_", seed_labels().alias("label"))).withColumn("fold_", fold))
+    out = [_score(rows.where(fold == k), fit(known.where(F.col("fold_") != k))) for k in range(FOLDS)]
+    return reduce(DataFrame.unionByName, out)
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None, rules=RULES) -> DataFrame:
     """(id, host, path, rule, verdict, score) for every row of ``pages``.
 
-    ``labels`` (url, label 0/1) trains the trees; without it the seed terms do. A null URL, or one without ``://``, has
-    an empty host and path, fits no rule and is scored like any other. If the labels are all alike, or there are none,
-    URLs that no rule fits are allowed. Repeated rows get equal results; an empty table gives an empty result.
+    ``labels`` (url, label 0/1) trains the trees; without it the seed terms do, on other sites than the one that is judged. A
+    null URL, or one without ``://``, has an empty host and path, fits no rule and is scored like any other. If the labels are
+    all alike, or there are none, URLs that no rule fits are allowed. Very long URLs are taken whole. Repeated rows get equal
+    results; other columns do not matter; an empty table gives an empty result.
     """
-    read = lambda df, url: lexical(df.withColumns({"url_": F.col(url).cast("string")}).withColumns({"host_": host(F.col("url_")), "path_": path(F.col("url_"))}))
-    rows = read(pages.select(F.col(id_col).alias("id_"), F.col(url_col).alias("given_")), "given_")
-    known = rows.withColumn("label", seed_labels(rows)) if labels is None else read(labels.select(F.col("url").alias("given_"), F.col("label").cast("double")), "given_")
-    fitted = fit(cut(known.drop("id_", "given_")))
-    if fitted is None:
-        scored = rows.withColumn("score", F.lit(0.0))
-    else:
-        model, suffixes = fitted
-        scored = model.transform(with_suffixes(rows, suffixes)).withColumn("score", F.get(vector_to_array("probability_"), F.lit(1)))
+    rows = _read(pages.select(F.col(id_col).alias("id_"), F.col(url_col).alias("given_")), "given_")
     rule, verdict = match(F.col("host_"), F.col("path_"), rules)
     learned = F.when(F.col("score") > 0.5, "block").otherwise("allow")
-    return scored.select(F.col("id_").alias(id_col), F.col("host_").alias("host"), F.col("path_").alias("path"), rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "score")
+    return scored(rows, labels).select(F.col("id_").alias(id_col), F.col("host_").alias("host"), F.col("path_").alias("path"), rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "score")
+
+
+def held_out(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """One row (n, bad, found, right): labelled URLs, those labelled unwanted, those that the trees of other sites block, and how
+    many of these are labelled unwanted. right / found is the precision and right / bad the recall on sites not seen."""
+    rows = _read(pages.select(F.col(url_col).alias("given_")), "given_")
+    marked = scored(rows, None).select((F.col("score") > 0.5).alias("hit"), (seed_labels() == 1.0).alias("bad")).where("bad is not null")
+    count = lambda c, name: F.count_if(c).alias(name)
+    return marked.agg(F.count(F.lit(1)).alias("n"), count(F.col("bad"), "bad"), count(F.col("hit"), "found"), count(F.col("hit") & F.col("bad"), "right"))
 
 
 def keep_pages(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """The rows of ``pages`` whose URL is allowed, columns unchanged."""
+    """The rows of ``pages`` whose URL is allowed, columns unchanged. URLs are judged as above, each distinct one once; rows that
+    repeat stay or go together, rows without a URL too."""
     key = fresh(pages, "judged_url")
     distinct = pages.select(F.col(url_col).alias(key)).distinct()
     allowed = judge(distinct, key, key).where("verdict = 'allow'").select(F.col(key).alias(key + "_"))
