@@ -43,6 +43,44 @@ def test_odd_rows(spark):
     assert kept.columns == odd(spark).columns
 
 
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (words(a.lower()), words(b.lower()))]
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_similar_texts_by_recall_and_precision(spark):
+    """Pairs of a text and its copy with some words replaced: those of similarity 0.8 or more link, mostly, and no others."""
+    draw, rows, alike = random.Random(11), [], {}
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrst") for _ in range(5))
+    for k in range(600):
+        w = [word() for _ in range(draw.choice((40, 120, 400)))]
+        copy = list(w)
+        for _ in range(max(1, int(draw.choice((0.005, 0.01, 0.02, 0.03, 0.06)) * len(w)))):
+            copy[draw.randrange(len(w))] = word()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(copy))]
+        alike[k] = jaccard(rows[-2][1], rows[-1][1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    root = {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()}
+    hit = {k: root[2 * k + 1] == 2 * k for k in alike}
+    assert not any(hit[k] for k, j in alike.items() if j < 0.8) and all(root[2 * k] == 2 * k for k in alike)
+    near = lambda low, high: [hit[k] for k, j in alike.items() if low <= j < high]
+    assert sum(near(0.8, 1.0)) >= 0.9 * len(near(0.8, 1.0)) and sum(near(0.9, 1.0)) >= 0.95 * len(near(0.9, 1.0))
+
+
+def test_a_large_group_of_near_copies_gives_few_pairs(spark):
+    draw = random.Random(2)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        w[draw.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [0]
+    ids = simhash._shingled(docs, "doc_id", "text", "check bigint, parts array<bigint>", lambda own: (int(simhash.wide_fingerprint(own)[0].astype("<i8")), (simhash.wide_fingerprint(own).view("<u4") & 0x7FFFFFFF).astype("int64").tolist()))
+    assert simhash.wide_candidates(ids.drop("id")).count() < 400 * 40
+
+
 def test_every_link_is_found(spark):
     draw, fps = random.Random(5), set()
     for _ in range(60):

@@ -12,6 +12,7 @@ bounded whatever repeats.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -150,10 +151,9 @@ def _joined(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, bl
 
 
 def pieces(tokenizer_json: str) -> list[str]:
-    """The id-to-piece table."""
-    from tokenizers import Tokenizer
-
-    known = Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True)
+    """The id-to-piece table, read from the tokenizer file."""
+    data = json.loads(tokenizer_json)
+    known = data["model"]["vocab"] | {t["content"]: t["id"] for t in data["added_tokens"]}
     out = [""] * (max(known.values()) + 1)
     for piece, i in known.items():
         out[i] = piece

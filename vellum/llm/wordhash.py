@@ -96,6 +96,30 @@ def word_hashes(texts: pa.Array, letters: bytes = SPACED) -> tuple[np.ndarray, n
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets[1:])
 
 
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+
+
+def shingle_codes(texts: pa.Array, size: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(one 64-bit code for each run of ``size`` words within a text, end to end; number of codes of each text).
+
+    With ``short``, a text of fewer words, one at least, has one code of all its words.
+    """
+    h, ends = word_hashes(texts, SPACED)
+    counts = np.diff(ends, prepend=0)
+    sizes = np.maximum(counts - (size - 1), 0)
+    padded, code = np.concatenate([h, np.zeros(size, np.uint64)]), np.zeros(len(h), np.uint64)
+    for k in range(size):
+        word = padded[k : k + len(h)]
+        if short:  # words past the end of a text count as none
+            word = np.where(np.arange(len(h)) + k < np.repeat(ends, counts), word, np.uint64(0))
+        code = (code ^ word) * _ODD[k % len(_ODD)]
+        code ^= code >> np.uint64(31)
+    if short:
+        sizes = np.where((counts > 0) & (sizes == 0), 1, sizes)
+    at = np.arange(len(h)) - np.repeat(ends - counts, counts)  # place within the text
+    return mix(code[at < np.repeat(sizes, counts)]), sizes
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces of about ``most`` bytes of the binary ``column``, a longer text alone."""
     sizes = np.cumsum(np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)], np.int64))
