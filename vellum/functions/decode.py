@@ -9,7 +9,8 @@ MIN_TOKENS, LOW_PEAK = 2, 0.35
 
 
 def argmax(row: Column) -> Column:
-    """Index of the first greatest value."""
+    """Index of the first greatest value; a row without scores fails the query."""
+    row = F.when(F.size(row) == 0, F.raise_error(F.lit("no class scores")).cast("array<double>")).otherwise(row)
     return F.array_position(row, F.array_max(row)).cast("int") - 1
 
 

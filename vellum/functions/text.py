@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Phrases whose repeats collapse, literal replacements, and bracket pairs.
 PHRASES = ("という。", "このように, ")
@@ -69,8 +73,16 @@ def _characters(c: Column) -> Column:
 
 def drop_unmatched_closers(c: Column) -> Column:
     """Closing brackets that do not match the innermost open one go; unmatched openers stay."""
-    zero = F.struct(F.lit("").alias("stack"), F.lit("").alias("out"))
-    return F.aggregate(_characters(c), zero, lambda a, x: _bracket_step(a, x, lambda acc, ch, bad: F.when(bad, acc.out).otherwise(F.concat(acc.out, ch))), lambda a: a.out)
+    characters = _characters(c)
+    zero = F.struct(F.lit("").alias("stack"), F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+
+    def step(a: Column, x: Column) -> Column:
+        moved = _bracket_step(a, x, lambda acc, ch, bad: F.when(bad, F.array_append(acc.out, acc.at)).otherwise(acc.out))
+        return F.struct(moved.stack.alias("stack"), moved.out.alias("out"), (a.at + 1).alias("at"))
+
+    gone = F.aggregate(characters, zero, step, lambda a: a.out)  # places of the few closers that go
+    kept = F.filter(F.transform(characters, lambda x, i: F.when(~F.array_contains(gone, i), x)), lambda x: x.isNotNull())
+    return F.when(c.rlike("[" + "".join(re.escape(x) for _, x in BRACKETS) + "]"), F.array_join(kept, "")).otherwise(c)
 
 
 def unmatched_brackets(c: Column) -> Column:
@@ -153,9 +165,9 @@ def stem(c: Column) -> Column:
 
 
 def url_stem(url: Column) -> Column:
-    """``law_<id>`` for /law/ addresses, else host and path, at most 120 characters."""
+    """``law_<id>`` for /law/ addresses, else host and path, at most 120 characters; ``host_page`` for what is no address."""
     u = trim(url)
-    path, host = F.coalesce(F.parse_url(u, F.lit("PATH")), F.lit("")), F.coalesce(F.parse_url(u, F.lit("AUTHORITY")), F.lit("host"))
+    path, host = F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit("")), F.coalesce(F.try_parse_url(u, F.lit("AUTHORITY")), F.lit("host"))
     law = F.regexp_extract(path, "/law/([^/?#]+)", 1)
     page = F.coalesce(F.nullif(F.replace(F.btrim(path, F.lit("/")), F.lit("/"), F.lit("_")), F.lit("")), F.lit("page"))
     other = F.substring(stem(F.concat_ws("_", F.replace(host, F.lit(":"), F.lit("_")), page)), 1, 120)
@@ -187,13 +199,33 @@ def quality_score(text: Column, confidence: Column) -> Column:
     return F.when(F.length(text) == 0, -1.0).otherwise(score)
 
 
+@F.pandas_udf(IntegerType())
+def _word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance between two lists of words, a row of the table at a time."""
+
+    def one(x, y) -> int | None:
+        if x is None or y is None:
+            return None
+        number: dict[str, int] = {}
+        x, y = (np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in (x, y))
+        steps = np.arange(len(y) + 1)
+        row = steps.copy()
+        for i, w in enumerate(x, 1):
+            best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != w))])
+            row = np.minimum.accumulate(best - steps) + steps
+        return int(row[-1])
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+def word_list(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+
+
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance over white-space words: each distinct word of the pair becomes one character, up to 19,000 of them."""
-    x, y = (F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "") for c in (a, b))
-    known = F.array_distinct(F.concat(x, y))
-    spell = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4E00), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(spell(x), spell(y))
+    """Edit distance over white-space words, for any number of distinct ones."""
+    return _word_edits(word_list(a), word_list(b))
 
 
 def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
+    return F.size(word_list(c))

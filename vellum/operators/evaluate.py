@@ -18,13 +18,28 @@ def file_metrics(truth: DataFrame, predictions: DataFrame, level: str = "basic")
     return df.withColumns({"cer": rate("char_errors", "char_total"), "wer": rate("word_errors", "word_total")})
 
 
+def systems_of(predictions: DataFrame, most: int = 1000) -> list[str]:
+    """The names of the compared systems, which are configuration: more than ``most`` are an error."""
+    names = [r.system for r in predictions.select("system").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} systems")
+    return sorted(names)
+
+
 def missing_files(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """(system, relpath) of truth files that a system did not predict."""
-    systems = predictions.select("system").distinct()
-    wanted = truth.select("relpath").join(F.broadcast(systems))  # a handful of systems
+    names = F.array(*map(F.lit, systems_of(predictions))).cast("array<string>")
+    wanted = truth.select(F.explode(names).alias("system"), "relpath")
     return wanted.join(predictions.select("system", "relpath"), ["system", "relpath"], "left_anti")
 
 
+def require_all(missing: DataFrame) -> None:
+    """Fails if any system lacks a file."""
+    first = missing.orderBy("system", "relpath").first()
+    if first:
+        raise ValueError(f"{missing.count()} missing predictions, the first {first.system}: {first.relpath}")
+
+
 def system_metrics(metrics: DataFrame) -> DataFrame:
     """Micro averages per system."""
     sums = metrics.groupBy("system").agg(F.count(F.lit(1)).alias("matched"), *[F.sum(c).alias(c) for c in ("char_errors", "char_total", "word_errors", "word_total")])
@@ -32,10 +47,23 @@ def system_metrics(metrics: DataFrame) -> DataFrame:
     return sums.withColumns({"cer": rate("char_errors", "char_total"), "wer": rate("word_errors", "word_total")})
 
 
+def with_missing(systems: DataFrame, missing: DataFrame) -> DataFrame:
+    """Adds the number of missing files of each system."""
+    counted = missing.groupBy("system").agg(F.count(F.lit(1)).alias("missing"))
+    return systems.join(counted, "system", "left").fillna(0, ["missing"])
+
+
 def deltas(systems: DataFrame, baseline: str) -> DataFrame:
-    """Each system against the one baseline row."""
-    base = systems.where(F.col("system") == baseline).select(F.col("cer").alias("base_cer"), F.col("wer").alias("base_wer")).limit(1)
-    return systems.join(F.broadcast(base)).select("system", "cer", "wer", (F.col("cer") - F.col("base_cer")).alias("delta_cer"), (F.col("wer") - F.col("base_wer")).alias("delta_wer"))
+    """Each system against the baseline's row; without one there is nothing to compare and the result is empty."""
+    base = systems.where(F.col("system") == baseline).select("cer", "wer").first()
+    if base is None:
+        base, systems = (0.0, 0.0), systems.limit(0)
+    return systems.select("system", "cer", "wer", (F.col("cer") - base[0]).alias("delta_cer"), (F.col("wer") - base[1]).alias("delta_wer"))
+
+
+def ranked(systems: DataFrame) -> DataFrame:
+    """Systems by character error rate, best first, ties by name."""
+    return systems.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cer", "system")))
 
 
 def top_missing(missing: DataFrame, n: int = 30) -> DataFrame:

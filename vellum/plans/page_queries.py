@@ -67,8 +67,10 @@ def fallback_pages(s, d):
 
 
 def input_union(s, d):
-    urls = V.table(s, d, "pages").select(F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.element_at(F.array(*map(F.lit, (".png", ".TIF", ".gif", ""))), (F.col("page_id") % 4 + 1).cast("int"))).alias("path"), "page_id")
-    return readers.input_union(urls.where("page_id % 2 = 0"), urls.where("page_id % 5 = 0"))
+    kind = lambda n: F.element_at(F.array(*map(F.lit, (".png", ".TIF", ".gif", ""))), (F.col(n) % 4 + 1).cast("int"))
+    listed = V.table(s, d, "pages").select(F.concat(F.regexp_replace("url", r"[?#].*$", ""), kind("page_id")).alias("path"))
+    single = V.table(s, d, "customer").select(F.concat(F.lit("one/"), F.col("c_custkey").cast("string"), kind("c_custkey")).alias("path"))
+    return readers.input_union(listed, single)
 
 
 def supported_ext(s, d):
@@ -177,6 +179,11 @@ def cer_wer(s, d):
     return E.system_metrics(_metrics(s, d)).select("system", "matched", "char_errors", "char_total", F.round("cer", 9).alias("cer"))
 
 
+def systems_ranked(s, d):
+    missing = E.missing_files(V.v_truth(s, d), V.v_pred(s, d))
+    return E.ranked(E.with_missing(E.system_metrics(_metrics(s, d)), missing)).select("place", "system", "matched", "missing", F.round("cer", 9).alias("cer"))
+
+
 def cer_delta(s, d):
     return E.deltas(E.system_metrics(_metrics(s, d)), "lower").select("system", F.round("cer", 9).alias("cer"), F.round("delta_cer", 9).alias("delta_cer"))
 
@@ -246,8 +253,9 @@ QUERIES = {
     "word_errors": lambda s, d: _metrics(s, d, "basic").select("system", "relpath", "word_errors", "word_total", F.round("wer", 9).alias("wer")),
     "cer_wer": cer_wer,
     "cer_delta": cer_delta,
+    "systems_ranked": systems_ranked,
     "missing_files": lambda s, d: E.missing_files(V.v_truth(s, d), V.v_pred(s, d)),
-    "missing_top30": lambda s, d: E.top_missing(E.missing_files(V.v_truth(s, d), V.v_pred(s, d)), 3),
+    "missing_top30": lambda s, d: E.top_missing(E.missing_files(V.v_truth(s, d), V.v_pred(s, d))),
     "timing_summary": timing_summary,
     "fixture_stem": lambda s, d: V.table(s, d, "pages").select("page_id", T.url_stem(F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_extract("url", r"^(\w+://[^/]*)", 1), F.lit("/law/129AC0!x?foo=1#a"))).otherwise(F.col("url"))).alias("stem")),
     "crop_pixels": crop_pixels,
@@ -302,6 +310,12 @@ _XML = """'<?xml version="1.0" encoding="utf-8" standalone="yes"?>' || chr(10) |
 _LINE = """format('      <LINE TYPE="line_main" X="{}" Y="{}" WIDTH="{}" HEIGHT="{}" CONF="{:.3f}" STRING="{}" ORIENT="{}"></LINE>', x0, y0, greatest(x1 - x0, 1), greatest(y1 - y0, 1), mean_confidence, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), CASE WHEN is_vertical THEN 'vertical' ELSE 'horizontal' END) || chr(10)"""
 
 
+_ITEM = """'{"boundingBox":[[' || x0 || ',' || y0 || '],[' || x0 || ',' || y1 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || ']],"id":' || line_idx || ',"isVertical":"' || is_vertical || '","text":"' || text || '","isTextline":"true","confidence":' || mean_confidence || '}'"""
+#: Each distinct word of a pair becomes one of the 127 ASCII characters: no pair of these tables has as many.
+_WORDS = with_views("pred", more=rf"""ws AS (SELECT p.system, p.relpath, list_filter(string_split_regex({TQ.folded('t.text', 'basic')}, '\s+'), lambda w: w <> '') AS a, list_filter(string_split_regex({TQ.folded('p.text', 'basic')}, '\s+'), lambda w: w <> '') AS b FROM truth t JOIN pred p ON t.relpath = p.relpath),
+  sp AS (SELECT system, relpath, len(a) AS n, array_to_string(list_transform(a, lambda w: chr(list_position(k, w)::INT)), '') AS x, array_to_string(list_transform(b, lambda w: chr(list_position(k, w)::INT)), '') AS y FROM (SELECT *, list_distinct(list_concat(a, b)) AS k FROM ws))""") + " SELECT system, relpath, levenshtein(x, y) AS word_errors, n AS word_total, round(CASE WHEN n > 0 THEN levenshtein(x, y) / n::DOUBLE WHEN levenshtein(x, y) > 0 THEN 1.0 ELSE 0.0 END, 9) AS wer FROM sp"
+
+
 def _rerank_sql() -> str:
     score = lambda t, c: f"(CASE WHEN length({t}) = 0 THEN -1.0 ELSE {c} + 0.30 * len(regexp_extract_all({t}, '[第条]')) / length({t})::DOUBLE - 0.18 * len(regexp_extract_all({t}, '[0-9]')) / length({t})::DOUBLE - 0.18 * len(regexp_extract_all({t}, '[(]')) / length({t})::DOUBLE - 0.04 * greatest(length({t}) - 3, 0) - 0.06 * len(regexp_extract_all({t}, '[(]')) END)"
     (a, ac), (b, bc), (c, cc) = stub_sql(50), stub_sql(100), stub_sql(30)
@@ -328,7 +342,7 @@ SQL = {
     "line_json_ids": with_views("crops") + f" SELECT page_id, det_id, {_ORDER} AS line_idx, '[[' || x0 || ',' || y0 || '],[' || x0 || ',' || y1 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || ']]' AS box, greatest(x1 - x0, 1) AS w, greatest(y1 - y0, 1) AS h FROM crops",
     "mock_layout": f"WITH {_SIZES}, {_mock('sizes', 'm')} SELECT page_id, det_id, confidence, x0, y0, x1, y1 FROM m",
     "fallback_pages": with_views("detections", more=f"f AS (SELECT {_B} FROM detections WHERE (page_id % 3 <> 0 OR class_name = 'block_fig') AND starts_with(class_name, 'line_')), pg AS (SELECT o_orderkey AS page_id, {WIDTH} AS width, {HEIGHT} AS height, 3 AS want, 1.0 AS c FROM orders WHERE o_orderkey NOT IN (SELECT page_id FROM f)), {_mock('pg', 'm')}") + f" SELECT {_B} FROM f UNION ALL SELECT page_id, det_id, 'line_main', x0, y0, x1, y1 FROM m",
-    "input_union": f"WITH u AS (SELECT regexp_replace(url, '[?#].*$', '') || (['.png', '.TIF', '.gif', ''])[(page_id % 4 + 1)::INT] AS path, page_id FROM pages) SELECT path FROM (SELECT path FROM u WHERE page_id % 2 = 0 UNION ALL SELECT path FROM u WHERE page_id % 5 = 0) WHERE {_SUFFIX}",
+    "input_union": f"SELECT path FROM (SELECT regexp_replace(url, '[?#].*$', '') || (['.png', '.TIF', '.gif', ''])[(page_id % 4 + 1)::INT] AS path FROM pages UNION ALL SELECT 'one/' || c_custkey || (['.png', '.TIF', '.gif', ''])[(c_custkey % 4 + 1)::INT] FROM customer) WHERE {_SUFFIX}",
     "supported_ext": f"SELECT page_id, {_SUFFIX} AS ok FROM (SELECT page_id, url || (['.png', '.TIF', '.gif', '', '.Jp2'])[(page_id % 5 + 1)::INT] AS path FROM pages)",
     "row_ink": _PIXELS + " SELECT page_id, y, ink FROM ink",
     "line_spans": _PIXELS + " SELECT page_id, span, y0, y1 FROM spans",
@@ -350,9 +364,12 @@ SQL = {
     "out_text": _RECOGNIZED + " SELECT page_id, string_agg(text, chr(10) ORDER BY line_idx) AS text FROM done GROUP BY page_id",
     "char_errors": _METRICS + " SELECT system, relpath, char_errors, char_total, round(CASE WHEN char_total > 0 THEN char_errors / char_total::DOUBLE WHEN char_errors > 0 THEN 1.0 ELSE 0.0 END, 9) AS cer FROM fm",
     "cer_wer": _METRICS + " SELECT system, matched, char_errors, char_total, round(cer, 9) AS cer FROM sm",
+    "systems_ranked": _METRICS + ", " + _MISSING + " SELECT row_number() OVER (ORDER BY sm.cer, sm.system) AS place, sm.system, matched, count(m.relpath) AS missing, round(sm.cer, 9) AS cer FROM sm LEFT JOIN missing m USING (system) GROUP BY sm.system, matched, sm.cer",
+    "word_errors": _WORDS,
+    "out_json": _RECOGNIZED + f", g AS (SELECT page_id, string_agg({_ITEM}, ',' ORDER BY line_idx) AS body FROM done GROUP BY page_id) SELECT o_orderkey AS page_id, '{{\"contents\":[[' || coalesce(body, '') || ']],\"imginfo\":{{\"img_width\":1000,\"img_height\":1200,\"img_path\":\"in/' || o_orderkey || '\",\"img_name\":\"p<' || o_orderkey || '\"}}}}' AS json FROM orders LEFT JOIN g ON o_orderkey = page_id",
     "cer_delta": _METRICS + " SELECT s.system, round(s.cer, 9) AS cer, round(s.cer - b.cer, 9) AS delta_cer FROM sm s, sm b WHERE b.system = 'lower'",
     "missing_files": with_views("pred", more=_MISSING) + " SELECT system, relpath FROM missing",
-    "missing_top30": with_views("pred", more=_MISSING) + " SELECT system, rank, relpath, greatest(total - 3, 0) AS more FROM (SELECT system, relpath, row_number() OVER (PARTITION BY system ORDER BY relpath) AS rank, count(*) OVER (PARTITION BY system) AS total FROM missing) WHERE rank <= 3",
+    "missing_top30": with_views("pred", more=_MISSING) + " SELECT system, rank, relpath, greatest(total - 30, 0) AS more FROM (SELECT system, relpath, row_number() OVER (PARTITION BY system ORDER BY relpath) AS rank, count(*) OVER (PARTITION BY system) AS total FROM missing) WHERE rank <= 30",
     "timing_summary": "SELECT count(*) AS files, round(sum(value), 3) AS total_seconds, round(avg(value), 6) AS mean_seconds FROM events",
     "fixture_stem": r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'law_129AC0_x' ELSE left(trim(regexp_replace(regexp_replace(replace(regexp_extract(url, '^\w+://([^/?#]*)', 1), ':', '_') || '_' || coalesce(nullif(replace(trim(regexp_extract(url, '^\w+://[^/?#]*([^?#]*)', 1), '/'), '/', '_'), ''), 'page'), '[^0-9A-Za-z_.\-]+', '_', 'g'), '_+', '_', 'g'), '_'), 120) END AS stem FROM pages""",
     "crop_pixels": with_views("pixels") + " SELECT page_id, count(*) AS n, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM pixels WHERE x >= 10 + page_id AND x < 60 AND y >= 5 AND y < 25 GROUP BY page_id",

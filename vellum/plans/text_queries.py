@@ -163,6 +163,10 @@ SQL = {
     "rulepack_replace": with_views("lines") + f" SELECT page_id, line_idx, {replaced(PACK.line_replacements)} AS text FROM lines",
     "rulepack_merge": with_views("lines", more=pack_merges("lines", "a1")) + ALL + "a1",
     "rulepack_all": with_views("wrapped", more=pack_merges("wrapped", "a1") + f", a2 AS (SELECT page_id, line_idx, {replaced(PACK.line_replacements)} AS text FROM a1), " + distinct_neighbours("a2", "a3")) + ALL + "a3",
+    "run_limit": with_views("noisy", more="ch AS (SELECT page_id, line_idx, unnest(string_split(text, '')) AS x, unnest(range(length(text))) AS p FROM noisy), "
+    "rn AS (SELECT *, p - row_number() OVER (PARTITION BY page_id, line_idx, x ORDER BY p) AS g FROM ch), "
+    + rf"kp AS (SELECT page_id, line_idx, x, p, row_number() OVER (PARTITION BY page_id, line_idx, x, g ORDER BY p) AS n, CASE WHEN regexp_matches(x, '{WS}') THEN 1000000000 WHEN regexp_matches(x, '[0-9]') THEN 4 WHEN regexp_matches(x, '[^\p{{L}}\p{{M}}\p{{N}}]') THEN 3 ELSE 8 END AS most FROM rn)")
+    + f" SELECT page_id, line_idx, regexp_replace({trim("string_agg(x, '' ORDER BY p)")}, '{WS}+', ' ', 'g') AS text FROM kp WHERE n <= most GROUP BY page_id, line_idx",
     "phrase_collapse": with_views("noisy") + " SELECT page_id, line_idx, regexp_replace(regexp_replace(text, '(?:という。){2,}', 'という。', 'g'), '(?:このように, ){2,}', 'このように, ', 'g') AS text FROM noisy",
     "bracket_repair": with_views("noisy") + f" SELECT page_id, line_idx, ({brackets('acc.o || x', 'acc.o', chr(39) * 2)}).o AS text FROM noisy",
     "fixed_replace": with_views("noisy") + f" SELECT page_id, line_idx, {replaced(T.REPLACEMENTS)} AS text FROM noisy",
