@@ -75,3 +75,24 @@ def top_missing(missing: DataFrame, n: int = 30) -> DataFrame:
 
 def timing_summary(timing: DataFrame) -> DataFrame:
     return timing.agg(F.count(F.lit(1)).alias("files"), F.sum("wall_seconds").alias("total_seconds"), F.avg("wall_seconds").alias("mean_seconds"))
+
+
+def page_totals(lines: DataFrame, seconds: float | None = None, against: float | None = None) -> DataFrame:
+    """(pages, lines, ratio): lines over all pages, and how many times faster ``seconds`` is than ``against``, null if either is not known."""
+    ratio = F.lit(against / seconds if seconds and against is not None else None).cast("double")
+    return lines.agg(F.countDistinct("page_id").alias("pages"), F.count(F.lit(1)).alias("lines")).withColumn("ratio", ratio)
+
+
+def timed(systems: dict, keep) -> DataFrame:
+    """(stem, wall_seconds): runs each named query to its end by ``keep`` (a function that writes a DataFrame) and measures it."""
+    import time
+
+    rows, spark = [], None
+    for name, df in systems.items():
+        began = time.perf_counter()
+        keep(name, df)
+        rows.append((name, time.perf_counter() - began))
+        spark = df.sparkSession
+    if spark is None:
+        raise ValueError("nothing to measure")
+    return spark.createDataFrame(rows, "stem string, wall_seconds double")

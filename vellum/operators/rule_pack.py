@@ -25,7 +25,7 @@ class RulePack:
     collapse_duplicate_adjacent_lines: bool = False
 
 
-def _yaml(body: str):
+def load_yaml(body: str):
     try:
         import yaml
     except ImportError as e:
@@ -35,14 +35,14 @@ def _yaml(body: str):
 
 def dictionary(data) -> list[tuple[str, str]]:
     """Ordered (from, to) pairs from a list of mappings, {"replacements": list} or YAML of either; empty ``from`` are dropped."""
-    data = _yaml(data) if isinstance(data, str) else data
+    data = load_yaml(data) if isinstance(data, str) else data
     data = data.get("replacements", []) if isinstance(data, dict) else data
     return [(r["from"], r["to"]) for r in data if r["from"]]
 
 
 def rule_pack(data) -> RulePack:
     """A rule pack from a mapping or YAML; rules with an empty ``from``, suffix or prefix are dropped."""
-    data = (_yaml(data) if isinstance(data, str) else data) or {}
+    data = (load_yaml(data) if isinstance(data, str) else data) or {}
     merges = [MergeRule(r["left_suffix"], r["right_prefix"], r.get("drop_right_prefix_chars", 0)) for r in data.get("merge_rules", [])]
     return RulePack(
         tuple((r["from"], r["to"]) for r in data.get("line_replacements", []) if r["from"]),

@@ -88,6 +88,15 @@ def line_spans(s, d):
     return L.line_spans(L.row_ink(pixels), pages)
 
 
+def page_totals(s, d):
+    return E.page_totals(V.v_crops(s, d)).select("pages", "lines")
+
+
+def output_stems(s, d):
+    given = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("s"), F.col("page_id"))).when(F.col("page_id") % 3 == 1, F.lit(""))
+    return V.table(s, d, "pages").select("page_id", sinks.output_stem(given, F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.element_at(F.array(*map(F.lit, (".png", "/", "/.x", ""))), (F.col("page_id") % 4 + 1).cast("int")))).alias("stem"))
+
+
 def line_bands(s, d):
     return L.line_bands(*_bands(s, d))
 
@@ -254,6 +263,8 @@ QUERIES = {
     "cer_wer": cer_wer,
     "cer_delta": cer_delta,
     "systems_ranked": systems_ranked,
+    "page_totals": page_totals,
+    "output_stems": output_stems,
     "missing_files": lambda s, d: E.missing_files(V.v_truth(s, d), V.v_pred(s, d)),
     "missing_top30": lambda s, d: E.top_missing(E.missing_files(V.v_truth(s, d), V.v_pred(s, d))),
     "timing_summary": timing_summary,
@@ -366,6 +377,8 @@ SQL = {
     "cer_wer": _METRICS + " SELECT system, matched, char_errors, char_total, round(cer, 9) AS cer FROM sm",
     "systems_ranked": _METRICS + ", " + _MISSING + " SELECT row_number() OVER (ORDER BY sm.cer, sm.system) AS place, sm.system, matched, count(m.relpath) AS missing, round(sm.cer, 9) AS cer FROM sm LEFT JOIN missing m USING (system) GROUP BY sm.system, matched, sm.cer",
     "word_errors": _WORDS,
+    "page_totals": with_views("crops") + " SELECT count(DISTINCT page_id) AS pages, count(*) AS lines FROM crops",
+    "output_stems": r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 's' || page_id ELSE coalesce(nullif(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', '') || (['.png', '/', '/.x', ''])[(page_id % 4 + 1)::INT], '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1'), ''), 'output') END AS stem FROM pages",
     "out_json": _RECOGNIZED + f", g AS (SELECT page_id, string_agg({_ITEM}, ',' ORDER BY line_idx) AS body FROM done GROUP BY page_id) SELECT o_orderkey AS page_id, '{{\"contents\":[[' || coalesce(body, '') || ']],\"imginfo\":{{\"img_width\":1000,\"img_height\":1200,\"img_path\":\"in/' || o_orderkey || '\",\"img_name\":\"p<' || o_orderkey || '\"}}}}' AS json FROM orders LEFT JOIN g ON o_orderkey = page_id",
     "cer_delta": _METRICS + " SELECT s.system, round(s.cer, 9) AS cer, round(s.cer - b.cer, 9) AS delta_cer FROM sm s, sm b WHERE b.system = 'lower'",
     "missing_files": with_views("pred", more=_MISSING) + " SELECT system, relpath FROM missing",

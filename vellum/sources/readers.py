@@ -29,6 +29,14 @@ def collect_images(spark: SparkSession, folder: str | None = None, file: str | N
     return out
 
 
+def evaluation_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the evaluation images of a folder, not of folders in it, in order; none is an error."""
+    out = spark.read.format("binaryFile").load(folder).select("path").where(is_supported_image(F.col("path"), EVALUATION_EXTENSIONS))
+    if out.isEmpty():
+        raise ValueError(f"no evaluation image in {folder}")
+    return out.orderBy("path")
+
+
 def input_union(listed: DataFrame, single: DataFrame) -> DataFrame:
     """Paths of a listing and of single files, both filtered by extension; duplicates stay."""
     return listed.select("path").unionByName(single.select("path")).where(is_supported_image(F.col("path")))
@@ -53,10 +61,18 @@ def decode_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(relpath, text) of every .txt file below ``folder``."""
+    """(relpath, text) of every .txt file below ``folder``, in order of their paths."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     base = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
-    return df.select(F.regexp_replace(F.col("_metadata.file_path"), rf"^\w+:/*\Q{base}\E/", "").alias("relpath"), F.col("value").alias("text"))
+    return df.select(F.regexp_replace(F.col("_metadata.file_path"), rf"^\w+:/*\Q{base}\E/", "").alias("relpath"), F.col("value").alias("text")).orderBy("relpath")
+
+
+def check_settings(line_text: str, output_stem: str | None = None) -> None:
+    """Refuses a blank line text, and a blank output stem if one is given."""
+    if not line_text.strip():
+        raise ValueError("the line text is blank")
+    if output_stem is not None and not output_stem.strip():
+        raise ValueError("the output stem is blank")
 
 
 def system_argument(raw: str) -> tuple[str, str]:
@@ -72,7 +88,11 @@ def timings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def charset(data) -> list[str]:
-    """Characters from a string, a list of strings, or a mapping model.charset_train of either."""
+    """Characters from a list of strings, or a mapping model.charset_train of a string or such a list; or from YAML text of that mapping."""
+    if isinstance(data, str):
+        from vellum.operators.rule_pack import load_yaml
+
+        data = load_yaml(data)
     if isinstance(data, dict):
         data = data.get("model", {}).get("charset_train")
     if isinstance(data, str):

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import io
 import json
+import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
@@ -86,6 +90,58 @@ def page_docx(texts: DataFrame) -> DataFrame:
     return texts.select("page_id", docx_body(F.col("text")).alias("body")).mapInPandas(run, "page_id bigint, docx binary")
 
 
+def page_documents(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, name, json, xml, txt, docx_body) of every page; a page without lines has empty ones."""
+    from vellum.operators.page_rules import page_text
+
+    texts = pages.select("page_id", "name").join(page_text(lines), "page_id", "left").withColumn("txt", F.coalesce("text", F.lit("")))
+    made = texts.join(page_json(lines, pages), "page_id").join(page_xml(lines, pages), "page_id")
+    return made.select("page_id", "name", "json", "xml", "txt", docx_body(F.col("txt")).alias("docx_body"))
+
+
+KINDS = ("json", "xml", "txt", "docx")
+
+
+def write_page_files(lines: DataFrame, pages: DataFrame, folder: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Writes <stem>.<kind> of every page into ``folder``, by the tasks that made them; returns (page_id, kind, path).
+
+    ``folder`` is a URI or a path that all executors share. A file is written under a name of its own and then renamed, so a
+    repeated task leaves the same files. Stems come from the page's name; pages that share one also carry their number.
+    """
+    stems = F.count(F.lit(1)).over(Window.partitionBy("stem_"))
+    documents = page_documents(lines, pages).withColumn("stem_", output_stem(F.lit(None).cast("string"), F.col("name")))
+    documents = documents.withColumn("stem", F.when(stems > 1, F.concat_ws("-", "stem_", F.col("page_id").cast("string"))).otherwise(F.col("stem_")))
+    target = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(target)
+        fs.create_dir(base)
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                for kind in kinds:
+                    body = docx_package(r["docx_body"]) if kind == "docx" else (pretty_json(r["json"]) if kind == "json" else r[kind]).encode()
+                    name, trial = f"{base}/{r['stem']}.{kind}", f"{base}/.{r['stem']}.{kind}.{uuid.uuid4().hex}"
+                    with fs.open_output_stream(trial) as f:
+                        f.write(body)
+                    fs.move(trial, name)
+                    rows.append((r["page_id"], kind, name))
+            yield pa.RecordBatch.from_pylist([dict(zip(("page_id", "kind", "path"), x, strict=True)) for x in rows], schema=schema)
+
+    schema = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("path", pa.string())])
+    columns = [F.col("page_id").cast("long").alias("page_id"), "stem", "json", "xml", "txt", "docx_body"]
+    done = documents.select(*columns).mapInArrow(run, "page_id bigint, kind string, path string")
+    index = f"{target}/_files-{uuid.uuid4().hex}"
+    done.write.parquet(index)  # so that the files are written once, now
+    return lines.sparkSession.read.parquet(index)
+
+
+def output_stem(given: Column, path: Column) -> Column:
+    """The stem of output files: the given one, else that of the input file, else ``output``."""
+    own = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return F.coalesce(F.nullif(given, F.lit("")), F.nullif(F.regexp_replace(own, r"[/\x00]", "_"), F.lit("")), F.lit("output"))
+
+
 def write_artifacts(lines: DataFrame, pages: DataFrame, path: str) -> None:
     """JSON, XML and text of every page as three Parquet tables under ``path``."""
     from vellum.operators.page_rules import page_text
@@ -100,6 +156,34 @@ def metrics_csv(metrics: DataFrame, path: str) -> None:
     metrics.select("system", F.col("relpath").alias("file"), fixed("cer"), fixed("wer"), "char_errors", "char_total", "word_errors", "word_total").write.mode("overwrite").csv(path, header=True)
 
 
+def timing_csv(timing: DataFrame, path: str) -> None:
+    """stem and seconds to six places."""
+    timing.select("stem", F.format_string("%.6f", F.col("wall_seconds")).alias("wall_seconds")).write.mode("overwrite").csv(path, header=True)
+
+
+def timing_markdown(timing: DataFrame) -> str:
+    """Files, total and mean seconds."""
+    from vellum.operators.evaluate import timing_summary
+
+    r = timing_summary(timing).first()
+    return f"## Timing\n\n- files: {r.files}\n- total seconds: {r.total_seconds or 0.0:.3f}\n- mean seconds: {r.mean_seconds or 0.0:.3f}\n"
+
+
+def combined_report(title: str, timing: DataFrame, systems: DataFrame, missing: DataFrame, level: str) -> str:
+    """Timing and accuracy in one document."""
+    return f"# {title}\n\n{timing_markdown(timing)}\n## Accuracy\n\n{markdown_report(systems, missing, level)}"
+
+
+def summary_lines(systems: DataFrame, baseline: str | None = None) -> list[str]:
+    """A line of CSV for each of a few systems, best first; with signed differences if a baseline is named."""
+    from vellum.operators.evaluate import deltas
+
+    rows = systems.orderBy("cer", "system").collect()
+    shift = {r.system: r for r in deltas(systems, baseline).collect()} if baseline else {}
+    head = "system,cer,wer" + (",delta_cer,delta_wer" if baseline else "")
+    return [head, *[f"{r.system},{r.cer:.6f},{r.wer:.6f}" + (f",{shift[r.system].delta_cer:+.6f},{shift[r.system].delta_wer:+.6f}" if r.system in shift else "") for r in rows]]
+
+
 def markdown_report(systems: DataFrame, missing: DataFrame, level: str, n: int = 30) -> str:
     """A report of a few systems: rows by error rate, then each system's first missing files."""
     from vellum.operators.evaluate import top_missing
