@@ -4,6 +4,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from vellum.llm import sharding as S
 from tests.llm.helpers import empty, odd
 
@@ -37,6 +39,16 @@ def test_odd_rows_and_hot_keys(spark):
     assert S.shard_documents(empty(spark)).count() == 0
 
 
+def test_names_and_many_copies(spark):
+    rows = spark.range(7).selectExpr("id as arc", "id as h", "id as copies", "id as base", "id as `row`", "id as replica", "id as `a.b`")
+    out = S.place(rows, 3)
+    assert out.columns == [*rows.columns, "shard", "slot"] and sorted(r.arc for r in out.collect()) == list(range(7))
+    with pytest.raises(ValueError):
+        S.place(rows.withColumnRenamed("h", "Shard"), 3)
+    many = spark.range(250_000).selectExpr("1 as k")  # more copies than one array holds
+    assert sorted(r["count"] for r in S.place(many, 3).groupBy("shard").count().collect()) == [83333, 83333, 83334]
+
+
 def test_settle_is_exact():
     placed = S.settle([10, 0, 1, 5], [0, 1, 2, 0], 3)
     load = Counter()

@@ -17,7 +17,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast only when it has been counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
 
-#: Copies that ``repeated`` makes from one array.
+#: Copies of a row that are made from one array.
 STEP = 100_000
 
 
@@ -56,13 +56,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def repeated(df: DataFrame, count: str) -> DataFrame:
-    """Each row as often as its column ``count`` says, without that column. Copies are made
-    STEP at a time, so no array is large."""
+def numbered(df: DataFrame, count: str, number: str) -> DataFrame:
+    """Each row as often as its column ``count`` says, with ``number`` from 1. Copies are made STEP at a time, so no array is large."""
     many, left = fresh(df, "many_"), fresh(df, "left_")
     rows = df.withColumn(many, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{count}` - 1) div {STEP}"))))
     rows = rows.withColumn(left, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(STEP).cast("long"), F.col(count) - STEP * F.col(many)))))
-    return rows.drop(count, many, left)
+    return rows.withColumn(number, STEP * F.col(many) + F.col(left)).drop(many, left)
+
+
+def repeated(df: DataFrame, count: str) -> DataFrame:
+    """Each row as often as its column ``count`` says, without that column."""
+    number = fresh(df, "number_")
+    return numbered(df, count, number).drop(count, number)
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -69,14 +69,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``docs`` with the remaining text, columns unchanged; ``length_col``, if there is one, counts its characters anew."""
+    """``docs`` with the remaining text, columns unchanged; ``length_col``, if there is one, counts its characters anew.
+
+    Null, empty and very long texts, ties, repeated rows and clashing names are treated as in ``dedup_lines``; the length of a
+    null text is null. An empty table gives an empty result.
+    """
     out = dedup_lines(docs, id_col, text_col)
     kinds = dict(docs.dtypes)
     return out.select(*[F.length(text_col).cast(kinds[c]).alias(c) if c == length_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """What the query returns: counts, length and SHA-256 of each document's remaining text."""
+    """What the query returns: counts, length and SHA-256 of each document's remaining text. A null text has length 0 and no
+    digest; all else is as in ``dedup_lines``, whose other columns are not read."""
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut
+from vellum.llm.common import cut, numbered
 
 POINTS = 128  # virtual nodes per shard
 CELL_BITS = 12
@@ -73,23 +73,24 @@ def place(rows: DataFrame, shards: int, points: int = POINTS) -> DataFrame:
     """``rows`` with shard and slot (from 0 in each shard, without gaps). Every column is part of the key.
 
     Equal rows are told apart by a replica number only, so the result is the same whichever of them is which. Nulls are
-    values like any other. Columns of ``rows`` must not be named shard or slot. An empty table gives an empty result.
+    values like any other. Rows that have a column named shard or slot already are refused, as are columns of map type, which
+    Spark cannot group by; other names do not matter. An empty table gives an empty result.
     """
-    spark, names = rows.sparkSession, rows.columns
-    columns = [F.col(f"`{c}`") for c in names]
-    single = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies_"))
-    single = single.withColumn("replica_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).drop("copies_")
-    hashed = single.withColumn("h_", F.xxhash64(*columns, "replica_"))
+    spark, taken = rows.sparkSession, {c.lower() for c in rows.columns} & {"shard", "slot"}
+    if taken:
+        raise ValueError(f"columns of these names are to be added: {sorted(taken)}")
+    single = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    hashed = numbered(single, "copies", "replica").select("row", "replica", F.xxhash64("row", "replica").alias("h"))
     nodes = ring(spark, shards, points)
     lookup = arcs(spark, nodes)  # at most 2 ** CELL_BITS + shards * points rows
-    keyed = cut(hashed.withColumn("cell", F.shiftright("h_", 64 - CELL_BITS)).join(F.broadcast(lookup), "cell").where("h_ between lo and hi").drop("cell", "lo", "hi"))
+    keyed = cut(hashed.withColumn("cell", F.shiftright("h", 64 - CELL_BITS)).join(F.broadcast(lookup), "cell").where("h between lo and hi").drop("cell", "lo", "hi"))
     counts = [0] * len(nodes)
     for r in keyed.groupBy("arc").count().collect():  # one row per virtual node
         counts[r.arc] = r["count"]
     parts = spark.createDataFrame(settle(counts, [s for _, s in nodes], shards), "arc int, first bigint, last bigint, shard int, base bigint")
-    rank = F.row_number().over(Window.partitionBy("arc").orderBy("h_", *columns, "replica_")) - 1
-    ranked = keyed.withColumn("rank_", rank.cast("long"))
-    return ranked.join(F.broadcast(parts), "arc").where("rank_ between first and last").select(*columns, "shard", (F.col("base") + F.col("rank_") - F.col("first")).alias("slot"))
+    rank = F.row_number().over(Window.partitionBy("arc").orderBy("h", "row", "replica")) - 1
+    ranked = keyed.withColumn("rank", rank.cast("long"))
+    return ranked.join(F.broadcast(parts), "arc").where("rank between first and last").select("row.*", "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:

@@ -101,7 +101,9 @@ class SequenceFile:
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, sequence: int = SEQUENCE, batch: int = BATCH) -> DataFrame:
     """Writes ``docs`` to ``folder`` in ascending order of id; returns (shard, n_docs, n_tokens), one row per shard.
 
-    A null text is empty. Null ids come first. Rows that share an id are ordered by their text's hash.
+    A null text is empty. Null ids come first. Rows that share an id are ordered by their text's hash; rows that repeat are
+    written each. Very long texts run over as many sequences as they need. Other columns are not read. An empty table writes no
+    file and gives an empty manifest.
     """
     spark = docs.sparkSession
     ship(spark)
