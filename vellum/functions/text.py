@@ -19,20 +19,27 @@ BRACKETS = (("(", ")"), ("（", "）"), ("「", "」"), ("『", "』"), ("【",
 TEXTUAL = "぀-ヿ㐀-䶿一-鿿Ａ-Ｚａ-ｚ"
 JAPANESE = "぀-ヿ㐀-䶿一-鿿々。、「」（）"
 CJK = "㐀-䶿一-鿿々"
+#: Characters with the Unicode property White_Space.
+WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 BOUNDARY = r"(?U)^\s*(第|\(|（|1\.)"
 
 
 def trim(c: Column) -> Column:
     """Strips Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def trim_start(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+", "")
+    return F.ltrim(c, F.lit(WHITE))
 
 
 def trim_end(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(WHITE))
+
+
+def bound(c: Column, f) -> Column:
+    """f(c) with ``c`` worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def blank(c: Column) -> Column:
@@ -117,27 +124,34 @@ def _first(c: Column, what: str) -> Column:
 
 def clean_line(c: Column) -> Column:
     """Trims; tidies article headings, tails after short parenthetical labels, and numbered-item prefixes."""
-    t = trim(c)
+    return bound(trim(c), _clean)
+
+
+def _clean(t: Column) -> Column:
     at = _first(t, "条(")
     opened = F.when(at > 0, F.overlay(t, F.lit("条（"), at, F.lit(2))).otherwise(t)
-    close = F.when((at > 0) & (_first(opened, "）") == 0) & (_first(opened, ")") > 0), F.overlay(opened, F.lit("）"), _first(opened, ")"), F.lit(1))).otherwise(opened)
+    return F.when(t.startswith("第") & t.contains("条"), bound(opened, lambda o: _headed(o, at > 0))).otherwise(_item(t))
+
+
+def _headed(opened: Column, article: Column) -> Column:
+    """An article's heading without what follows its title."""
+    close = F.when(article & (_first(opened, "）") == 0) & (_first(opened, ")") > 0), F.overlay(opened, F.lit("）"), _first(opened, ")"), F.lit(1))).otherwise(opened)
     cut = lambda p: F.substring(close, F.lit(1), p)
     wide, thin = _first(close, "）"), _first(close, ")")
-    headed = (
+    return (
         F.when(_first(close, ") 第") > 0, cut(_first(close, ") 第")))
         .when(_first(close, "） 第") > 0, cut(_first(close, "） 第")))
         .when((wide > 0) & (wide < F.length(close)), cut(wide))
         .when((thin > 0) & (thin < F.length(close)), cut(thin))
         .otherwise(close)
     )
+
+
+def _item(t: Column) -> Column:
+    """A numbered item's prefix, or a short label without its tail."""
     label = F.regexp_replace(t, r"^(\([^)]{0,8}\)|（[^）]{0,8}）)(?:のよう|によう)[぀-ゟ　 ]{5,}$", "$1")
     numbered = t.rlike(r"^(\([1-5]\)|（[1-5][)）])")
-    return (
-        F.when(t.startswith("第") & t.contains("条"), headed)
-        .when(numbered, F.regexp_replace(t, r"^（([1-5])[)）]", "($1)"))
-        .when(t.rlike(r"^[(（]"), label)
-        .otherwise(t)
-    )
+    return F.when(numbered, F.regexp_replace(t, r"^（([1-5])[)）]", "($1)")).when(t.rlike(r"^[(（]"), label).otherwise(t)
 
 
 def normalize(c: Column, level: str) -> Column:

@@ -51,7 +51,7 @@ def merge_pairs(lines: DataFrame, mergeable: Column, merged: Column) -> DataFram
 def merge_split_digits(lines: DataFrame) -> DataFrame:
     """An ideograph and a stray digit before a line that goes on with an ideograph: the digit goes, the lines join."""
     left, right = T.trim_end(F.col("text")), T.trim_start(F.col("next_text"))
-    pair = left.rlike(f"[{T.CJK}][0-9]$") & right.rlike(f"^[{T.CJK}]") & ~T.is_boundary(right)
+    pair = F.col("text").rlike("[0-9]") & left.rlike(f"[{T.CJK}][0-9]$") & right.rlike(f"^[{T.CJK}]") & ~T.is_boundary(right)
     return merge_pairs(lines, pair, F.concat(F.substring(left, F.lit(1), F.length(left) - 1), right))
 
 
