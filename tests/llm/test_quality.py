@@ -116,13 +116,13 @@ def test_verdicts_that_no_threshold_gives(spark):
     make = lambda n, length: " ".join("".join(draw.choice(list("abcdefghij"), max(1, round(draw.normal(length, 0.4))))) for _ in range(n))
     rows, odd_ones, narrow = [], [], []
     for i in range(400):
-        t = draw.uniform(-1, 1)
-        rows.append((i, make(int(200 * np.exp(t)), 7 - 3 * t), "en", "tied", 0))
+        t = draw.normal(0, 0.5)
+        rows.append((i, make(int(200 * np.exp(t)), 7 - 3 * t + draw.normal(0, 0.25)), "en", "tied", 0))
     for i in range(400, 420):
         odd_ones.append(i)
         rows.append((i, make(int(200 * np.exp(0.9)), 9.7), "en", "tied", 0))
     for i in range(1000, 1300):
-        rows.append((i, make(200, 5), "en", "narrow", 0))
+        rows.append((i, make(200, 5 + draw.normal(0, 0.1)), "en", "narrow", 0))
     for i in range(1300, 1310):
         narrow.append(i)
         rows.append((i, make(200, 7), "en", "narrow", 0))

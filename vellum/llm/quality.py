@@ -2,9 +2,9 @@
 
 Counts of every whole text become a vector of five transformed statistics. For each group of documents (language and
 source; small groups are pooled by language, small pools together) the estimate starts from several sets of documents: those
-closest to the coordinate-wise medians, by two norms, and random ones. Concentration steps follow (mean and covariance of the
-closest three quarters, new distances, and so on) until no determinant falls any more; the start that ends with the
-smallest determinant counts. A document is rejected if its squared Mahalanobis distance exceeds a chi-square quantile.
+closest to the coordinate-wise medians, by two norms, and random ones. Concentration steps follow: mean and covariance of the
+closest three quarters, new distances, and so on. After two steps the two best starts of a group go on until their
+determinants fall no more; the smaller one counts. A document is rejected if its squared Mahalanobis distance exceeds a chi-square quantile.
 
 No statistic is known better than to one count, so each variance carries the square of what one more word, character,
 symbol, repeated line or repeated window would change in the group's median document. That is far less than a statistic
@@ -16,10 +16,12 @@ expressions over that row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import SPACES, cut, sized, stored, words
+from vellum.llm.common import BROADCAST_ROWS, SPACES, cut, sized, stored, words
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -35,6 +37,8 @@ MIN_GROUP = 60
 #: Starts by random sets of documents, and how many are in one on average.
 RANDOM_STARTS = 4
 RANDOM_ROWS = 20
+#: Steps that all starts take; then the BEST of each group go on.
+FIRST_STEPS, BEST = 2, 2
 #: A determinant has settled when its logarithm falls by less; steps lower it, so they end by themselves.
 SETTLED = 1e-6
 MAX_STEPS = 100
@@ -100,7 +104,7 @@ def _moments(rows: DataFrame, floors: DataFrame) -> DataFrame:
     x = list(STATS)
     sums = [F.count(F.lit(1)).cast("double").alias("n")] + [F.avg(k).alias(f"m{i}") for i, k in enumerate(x)]
     sums += [F.avg(F.col(x[i]) * F.col(x[j])).alias(f"q{i}{j}") for i in range(DIM) for j in range(i + 1)]
-    out = rows.groupBy("grp", "start").agg(*sums).join(sized(floors), "grp")
+    out = rows.groupBy("grp", "start").agg(*sums).join(floors, "grp")
     least = [F.col(f"r_{k}") * F.col(f"r_{k}") for k in x]
     cov = {}
     for i in range(DIM):
@@ -138,10 +142,10 @@ def _squared_distance() -> Column:
     return total
 
 
-def _closest(rows: DataFrame) -> DataFrame:
+def _closest(rows: DataFrame, small) -> DataFrame:
     """The rows (with a distance ``d``) of each (grp, start) up to the SUBSET quantile of ``d``, found by a mergeable sketch."""
-    edge = cut(rows.groupBy("grp", "start").agg(F.percentile_approx("d", SUBSET, 10_000).alias("edge")))
-    return rows.join(sized(edge), ["grp", "start"]).where("d <= edge")
+    edge = rows.groupBy("grp", "start").agg(F.percentile_approx("d", SUBSET, 10_000).alias("edge"))
+    return rows.join(small(edge), ["grp", "start"]).where("d <= edge")
 
 
 def fit(stats: DataFrame) -> DataFrame:
@@ -149,24 +153,36 @@ def fit(stats: DataFrame) -> DataFrame:
     names = list(STATS)
     medians = [F.percentile_approx(c, 0.5, 1000).alias(a) for c, a in [(k, f"c_{k}") for k in names] + [(f"r_{k}", f"r_{k}") for k in names]]
     centre = cut(stats.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), *medians))
-    floors = centre.select("grp", *[f"r_{k}" for k in names])
+    # all tables of groups have a row for each group and start at most
+    few = centre.count() * (2 + RANDOM_STARTS) <= BROADCAST_ROWS
+    small = F.broadcast if few else lambda df: df
+    floors = small(centre.select("grp", *[f"r_{k}" for k in names]))
     stats = stats.select("grp", *names)
-    off = stats.join(sized(centre), "grp").select("grp", "rows", *names, *[F.abs(F.col(k) - F.col(f"c_{k}")).alias(f"a_{k}") for k in names])
+    off = stats.join(small(centre), "grp").select("grp", "rows", *[f"r_{k}" for k in names], *names, *[F.abs(F.col(k) - F.col(f"c_{k}")).alias(f"a_{k}") for k in names])
     spread = cut(off.groupBy("grp").agg(*[F.percentile_approx(f"a_{k}", 0.5, 1000).alias(f"s_{k}") for k in names]))
     z = [F.col(f"a_{k}") / F.greatest(1.4826 * F.col(f"s_{k}"), F.col(f"r_{k}")) for k in names]
     norms = F.array(F.struct(F.lit(0).alias("start"), sum((v * v for v in z), F.lit(0.0)).alias("d")), F.struct(F.lit(1).alias("start"), F.greatest(*z).alias("d")))
-    at = off.join(sized(spread.join(floors, "grp")), "grp").select("grp", *names, F.explode(norms).alias("e")).select("grp", *names, "e.start", "e.d")
+    at = off.join(small(spread), "grp").select("grp", *names, F.explode(norms).alias("e")).select("grp", *names, "e.start", "e.d")
     dealt = F.shiftrightunsigned(F.xxhash64(F.col("k"), *names), 11) / float(1 << 53)
     drawn = off.select("grp", "rows", *names, F.explode(F.array(*[F.lit(2 + k) for k in range(RANDOM_STARTS)])).alias("k")).where(dealt * F.col("rows") < RANDOM_ROWS)
-    model = _moments(_closest(at).select("grp", "start", *names).unionByName(drawn.select("grp", F.col("k").alias("start"), *names)), floors)
+    model = _moments(_closest(at, small).select("grp", "start", *names).unionByName(drawn.select("grp", F.col("k").alias("start"), *names)), floors)
+
+    def step(model: DataFrame) -> DataFrame:
+        at = stats.join(small(model), "grp").select("grp", *names, "start", _squared_distance().alias("d"))
+        return _moments(_closest(at, small), floors)
+
+    for _ in range(FIRST_STEPS):
+        model = step(model)
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("log_det", "start"))
+    falling, settled = cut(model.withColumn("place", place).where(F.col("place") <= BEST).drop("place")), []
     for _ in range(MAX_STEPS):
-        at = stats.join(sized(model), "grp").select("grp", *names, "start", _squared_distance().alias("d"))
-        after = _moments(_closest(at), floors)
-        both = model.select("grp", "start", F.col("log_det").alias("was")).join(after, ["grp", "start"])
-        falls = not both.where(F.col("was") - F.col("log_det") > SETTLED).isEmpty()
-        model = after
-        if not falls:
+        if falling.isEmpty():
             break
+        after = cut(step(falling).join(falling.select("grp", "start", F.col("log_det").alias("was")), ["grp", "start"]))
+        still = F.col("was") - F.col("log_det") > SETTLED
+        settled.append(after.where(~still).drop("was"))
+        falling = after.where(still).drop("was")
+    model = reduce(DataFrame.unionByName, settled, falling)
     best = model.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
     return cut(model.join(best, ["grp", "start"]).drop("start"))
 
