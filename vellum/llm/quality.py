@@ -10,8 +10,7 @@ No statistic is known better than to one count, so each variance carries the squ
 symbol, repeated line or repeated window would change in the group's median document. That is far less than a statistic
 scatters, unless it is the same in three quarters of the documents: there the estimate is that resolution alone.
 
-All of it is aggregation: a group is a row of moments, never a list of its documents, and Cholesky factors are column
-expressions over that row.
+All of it is aggregation: a group is a row of moments, never a list of its documents.
 """
 
 from __future__ import annotations
@@ -100,45 +99,44 @@ def groups(stats: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame, floors: DataFrame) -> DataFrame:
-    """Mean, inverse Cholesky factor and log determinant of each (grp, start); ``floors`` has each group's resolution."""
+    """Mean, inverse covariance and log determinant of each (grp, start); ``floors`` has each group's resolution.
+
+    The inverse comes from Gauss-Jordan steps over the rows of [covariance | identity], written as one fold, so that the plan
+    stays small.
+    """
     x = list(STATS)
     sums = [F.count(F.lit(1)).cast("double").alias("n")] + [F.avg(k).alias(f"m{i}") for i, k in enumerate(x)]
     sums += [F.avg(F.col(x[i]) * F.col(x[j])).alias(f"q{i}{j}") for i in range(DIM) for j in range(i + 1)]
     out = rows.groupBy("grp", "start").agg(*sums).join(floors, "grp")
-    least = [F.col(f"r_{k}") * F.col(f"r_{k}") for k in x]
-    cov = {}
-    for i in range(DIM):
-        for j in range(i + 1):
-            v = (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY
-            cov[f"c{i}{j}"] = F.greatest(v, F.lit(0.0)) + least[i] if i == j else v
-    out = out.withColumns(cov)
-    for j in range(DIM):  # Cholesky by columns, then the inverse of the factor by rows
-        diag = F.col(f"c{j}{j}")
-        for k in range(j):
-            diag = diag - F.col(f"l{j}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(diag, least[j] / 100)))  # rounding errors only
-        for i in range(j + 1, DIM):
-            v = F.col(f"c{i}{j}")
-            for k in range(j):
-                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", v / F.col(f"l{j}{j}"))
-    for i in range(DIM):
-        for j in range(i + 1):
-            v = F.lit(1.0 if i == j else 0.0)
-            for k in range(j, i):
-                v = v - F.col(f"l{i}{k}") * F.col(f"i{k}{j}")
-            out = out.withColumn(f"i{i}{j}", v / F.col(f"l{i}{i}"))
-    log_det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(DIM)), F.lit(0.0))
-    return cut(out.select("grp", "start", "n", log_det.alias("log_det"), *[f"m{i}" for i in range(DIM)], *[f"i{i}{j}" for i in range(DIM) for j in range(i + 1)]))
+
+    def cell(i: int, j: int) -> Column:
+        if j >= DIM:
+            return F.lit(1.0 if j - DIM == i else 0.0)
+        v = (F.col(f"q{max(i, j)}{min(i, j)}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY
+        return F.greatest(v, F.lit(0.0)) + F.col(f"r_{x[i]}") * F.col(f"r_{x[i]}") if i == j else v
+
+    def eliminate(a: Column, k: Column) -> Column:
+        pivot = F.get(F.get(a.rows, k), k)
+        own = F.transform(F.get(a.rows, k), lambda v: v / pivot)
+        other = lambda row: F.zip_with(row, own, lambda v, p: v - F.get(row, k) * p)
+        rows_ = F.transform(a.rows, lambda row, i: F.when(i == k, own).otherwise(other(row)))
+        return F.struct((a.log_det + F.log(pivot)).alias("log_det"), rows_.alias("rows"))
+
+    whole = F.array(*[F.array(*[cell(i, j) for j in range(2 * DIM)]) for i in range(DIM)])
+    zero = F.struct(F.lit(0.0).alias("log_det"), whole.alias("rows"))
+    out = out.withColumn("a", F.aggregate(F.sequence(F.lit(0), F.lit(DIM - 1)), zero, eliminate))
+    inverse = [F.get(F.get("a.rows", F.lit(i)), F.lit(DIM + j)).alias(f"i{i}{j}") for i in range(DIM) for j in range(i + 1)]
+    return cut(out.select("grp", "start", "n", F.col("a.log_det").alias("log_det"), *[f"m{i}" for i in range(DIM)], *inverse))
 
 
 def _squared_distance() -> Column:
     total = F.lit(0.0)
     for i in range(DIM):
-        z = F.lit(0.0)
-        for j in range(i + 1):
-            z = z + F.col(f"i{i}{j}") * (F.col(STATS[j]) - F.col(f"m{j}"))
-        total = total + z * z
+        off = lambda k: F.col(STATS[k]) - F.col(f"m{k}")
+        row = F.col(f"i{i}{i}") * off(i)
+        for j in range(i):
+            row = row + 2 * F.col(f"i{i}{j}") * off(j)
+        total = total + off(i) * row
     return total
 
 
