@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.session import ship
 
 
 def file_metrics(truth: DataFrame, predictions: DataFrame, level: str = "basic") -> DataFrame:
     """(system, relpath, char_errors, char_total, word_errors, word_total, cer, wer) of every predicted file with a truth."""
+    ship(truth.sparkSession)
     pairs = truth.select("relpath", F.col("text").alias("truth")).join(predictions, "relpath")
     a, b = T.normalize(F.col("truth"), level), T.normalize(F.col("text"), level)
     df = pairs.select("system", "relpath", a.alias("a"), b.alias("b"))
