@@ -48,6 +48,16 @@ def detector_input(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return ((out / np.float32(255) - np.float32(MEAN)) / np.float32(STD)).transpose(2, 0, 1).astype(np.float32)
 
 
+def crop_udf():
+    """(rgb, image width, image height, x0, y0, x1, y1) -> the packed RGB rows of the box; a box beyond the image fails the query."""
+
+    @F.pandas_udf("binary")
+    def run(rgb: pd.Series, w: pd.Series, h: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([crop(*row).tobytes() for row in zip(rgb, w, h, x0, y0, x1, y1, strict=True)])
+
+    return run
+
+
 def tensor_udf(kind: str, width: int, height: int):
     """(rgb, image width, image height, x0, y0, x1, y1) -> array<float> of the named input."""
     make = {"recognizer": recognizer_input, "detector": detector_input}[kind]

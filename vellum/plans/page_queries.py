@@ -79,7 +79,7 @@ def supported_ext(s, d):
 
 
 def _bands(s, d):
-    pages = V.table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("page_id"), F.lit(240).alias("width"), F.lit(140).alias("height"))
+    pages = V.table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("page_id"), F.lit(240).alias("width"), F.lit(140).alias("height"))
     return V.v_pixels(s, d), pages
 
 
@@ -210,7 +210,20 @@ def _packed(s, d):
 
 
 def crop_pixels(s, d):
-    return V.v_pixels(s, d).where("x >= 10 + page_id and x < 60 and y >= 5 and y < 25").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"), F.sum("g").alias("g"), F.sum("b").alias("b"))
+    from vellum.session import ship
+
+    ship(s)
+    left = (F.col("page_id") % 40 + 10).cast("int")
+    cut = X.crop_udf()(F.col("rgb"), F.col("width"), F.col("height"), left, F.lit(5), F.lit(60), F.lit(25))
+    n = F.expr("octet_length(cut) div 3").cast("int")
+    byte = lambda i, c: F.conv(F.hex(F.substring(F.col("cut"), i * 3 + c + 1, F.lit(1))), 16, 10).cast("long")
+    # each sum weighs a pixel with its place in the crop
+    total = lambda c: F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: byte(i, c) * (i % 13)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return _packed(s, d).select("page_id", cut.alias("cut")).select("page_id", n.cast("long").alias("n"), *[total(c).alias(k) for c, k in enumerate("rgb")])
+
+
+def _mean(values):
+    return F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values), 4)
 
 
 def _tensor(kind, w, h, box):
@@ -219,7 +232,7 @@ def _tensor(kind, w, h, box):
 
         ship(s)
         pixels = X.tensor_udf(kind, w, h)(F.col("rgb"), F.col("width"), F.col("height"), *map(F.lit, box))
-        return _packed(s, d).select("page_id", pixels.alias("t")).select("page_id", F.size("t").alias("n"), F.round(F.aggregate("t", F.lit(0.0), lambda a, v: a + v), 2).alias("total"))
+        return _packed(s, d).select("page_id", pixels.alias("t")).select("page_id", F.size("t").cast("long").alias("n"), _mean("t").alias("mean"), _mean(F.transform("t", lambda v, i: v * (i % 11))).alias("weighted"))
 
     return run
 
@@ -313,6 +326,14 @@ _PIXELS = with_views("pixels", more="""ink AS (SELECT page_id, y, count_if(r + g
   cols AS (SELECT *, max(ink) OVER (PARTITION BY page_id, span) AS most FROM (SELECT s.page_id, span, y0, y1, x, count(*) AS ink FROM spans s JOIN pixels p ON s.page_id = p.page_id AND y >= y0 AND y < y1 WHERE r + g + b < 660 GROUP BY s.page_id, span, y0, y1, x)),
   bounds AS (SELECT page_id, span, min(x) AS l, max(x) AS r FROM cols WHERE ink >= greatest(1, (y1 - y0) // 8, ceil(most * 0.15::DOUBLE)) GROUP BY page_id, span),
   bands AS (SELECT s.page_id, s.span, coalesce(greatest(l - 2, 0), 0)::INT AS x0, greatest(y0 - 1, 0)::INT AS y0, greatest(coalesce(least(r + 3, 240), 240), coalesce(greatest(l - 2, 0), 0) + 1)::INT AS x1, least(y1 + 1, 140)::INT AS y1 FROM spans s LEFT JOIN bounds b ON s.page_id = b.page_id AND s.span = b.span)""")
+_MEANS = " SELECT page_id, count(*) AS n, round(avg(v), 4) AS mean, round(avg(v * (place % 11)), 4) AS weighted FROM t GROUP BY page_id"
+_RECOGNIZER = with_views("pixels", more="""spots AS (SELECT i, j, floor(py)::INT AS ya, floor(px)::INT AS xa, py - floor(py) AS wy, px - floor(px) AS wx FROM (
+    SELECT i, j, least(greatest((i + 0.5::DOUBLE) * 2.5 - 0.5, 0), 39) AS py, least(greatest((j + 0.5::DOUBLE) * 1.875 - 0.5, 0), 119) AS px FROM range(16) a(i), range(64) b(j))),
+  corners AS (SELECT i, j, 5 + least(ya + dy, 39) AS y, 10 + least(xa + dx, 119) AS x, (CASE dy WHEN 1 THEN wy ELSE 1 - wy END) * (CASE dx WHEN 1 THEN wx ELSE 1 - wx END) AS w FROM spots, range(2) a(dy), range(2) b(dx)),
+  mixed AS (SELECT page_id, i, j, sum(w * r) AS r, sum(w * g) AS g, sum(w * b) AS b FROM corners JOIN pixels USING (y, x) GROUP BY page_id, i, j),
+  t AS (SELECT page_id, c * 1024 + i * 64 + j AS place, (CASE c WHEN 0 THEN b WHEN 1 THEN g ELSE r END) / 127.5::DOUBLE - 1 AS v FROM mixed, range(3) k(c))""") + _MEANS
+_DETECTOR = with_views("pixels", more="""spots AS (SELECT s_suppkey::BIGINT AS page_id, i, j, i * 240 // 32 AS y, j * 240 // 32 AS x FROM supplier, range(32) a(i), range(32) b(j)),
+  t AS (SELECT page_id, c * 1024 + i * 32 + j AS place, (coalesce(CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END, 0) / 255::DOUBLE - m) / d AS v FROM spots LEFT JOIN pixels USING (page_id, y, x), (VALUES (0, 0.485::DOUBLE, 0.229::DOUBLE), (1, 0.456, 0.224), (2, 0.406, 0.225)) k(c, m, d))""") + _MEANS
 _TOKENS = "am AS (SELECT line_id, t, arg_max(c, (v, -c)) AS i, 1.0 / sum(exp(v - m)) AS p FROM (SELECT *, max(v) OVER (PARTITION BY line_id, t) AS m FROM logits) GROUP BY line_id, t)"
 _METRICS = with_views("pred", more=f"fm AS (SELECT system, relpath, levenshtein(a, b) AS char_errors, length(a) AS char_total FROM (SELECT p.system, p.relpath, {TQ.folded('t.text', 'strict')} AS a, {TQ.folded('p.text', 'strict')} AS b FROM truth t JOIN pred p ON t.relpath = p.relpath)), sm AS (SELECT system, count(*) AS matched, sum(char_errors) AS char_errors, sum(char_total) AS char_total, sum(char_errors) / sum(char_total)::DOUBLE AS cer FROM fm GROUP BY system)")
 _MISSING = "missing AS (SELECT system, relpath FROM (SELECT s.system, t.relpath FROM (SELECT DISTINCT system FROM pred) s, truth t) w ANTI JOIN pred p USING (system, relpath))"
@@ -385,5 +406,7 @@ SQL = {
     "missing_top30": with_views("pred", more=_MISSING) + " SELECT system, rank, relpath, greatest(total - 30, 0) AS more FROM (SELECT system, relpath, row_number() OVER (PARTITION BY system ORDER BY relpath) AS rank, count(*) OVER (PARTITION BY system) AS total FROM missing) WHERE rank <= 30",
     "timing_summary": "SELECT count(*) AS files, round(sum(value), 3) AS total_seconds, round(avg(value), 6) AS mean_seconds FROM events",
     "fixture_stem": r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'law_129AC0_x' ELSE left(trim(regexp_replace(regexp_replace(replace(regexp_extract(url, '^\w+://([^/?#]*)', 1), ':', '_') || '_' || coalesce(nullif(replace(trim(regexp_extract(url, '^\w+://[^/?#]*([^?#]*)', 1), '/'), '/', '_'), ''), 'page'), '[^0-9A-Za-z_.\-]+', '_', 'g'), '_+', '_', 'g'), '_'), 120) END AS stem FROM pages""",
-    "crop_pixels": with_views("pixels") + " SELECT page_id, count(*) AS n, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM pixels WHERE x >= 10 + page_id AND x < 60 AND y >= 5 AND y < 25 GROUP BY page_id",
+    "crop_pixels": with_views("pixels") + " SELECT page_id, count(*) AS n, sum(r * place)::BIGINT AS r, sum(g * place)::BIGINT AS g, sum(b * place)::BIGINT AS b FROM (SELECT *, ((y - 5) * (50 - page_id % 40) + x - 10 - page_id % 40) % 13 AS place FROM pixels WHERE x >= 10 + page_id % 40 AND x < 60 AND y >= 5 AND y < 25) GROUP BY page_id",
+    "prep_recognizer": _RECOGNIZER,
+    "prep_detector": _DETECTOR,
 }

@@ -106,6 +106,33 @@ def brackets(result: str, bad: str, final: str) -> str:
     return f"list_reduce(CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split(text, '') END, lambda acc, x: {step}, {{'stack': '', 'o': {final}}})"
 
 
+def runs(source: str, out: str) -> str:
+    """Runs cut to their limits, by windows over characters; then white space folded."""
+    return f"""{out}_ch AS (SELECT page_id, line_idx, unnest(string_split(text, '')) AS x, unnest(range(length(text))) AS p FROM {source}),
+      {out}_rn AS (SELECT *, p - row_number() OVER (PARTITION BY page_id, line_idx, x ORDER BY p) AS g FROM {out}_ch),
+      {out}_kp AS (SELECT page_id, line_idx, x, p, row_number() OVER (PARTITION BY page_id, line_idx, x, g ORDER BY p) AS n,
+        CASE WHEN regexp_matches(x, '{WS}') THEN 1000000000 WHEN regexp_matches(x, '[0-9]') THEN 4 WHEN regexp_matches(x, '[^\\p{{L}}\\p{{M}}\\p{{N}}]') THEN 3 ELSE 8 END AS most FROM {out}_rn),
+      {out} AS (SELECT page_id, line_idx, regexp_replace({trim("string_agg(x, '' ORDER BY p)")}, '{WS}+', ' ', 'g') AS text FROM {out}_kp WHERE n <= most GROUP BY page_id, line_idx)"""
+
+
+def chunks(source: str, out: str) -> str:
+    """Chunks that repeat: where a character equals the one n places on for 2 n places, a chunk of n stands three times or more.
+    The leftmost such place of a line is taken, with its longest chunk, then the next one behind it."""
+    sizes = range(10, 1, -1)
+    place = "PARTITION BY page_id, line_idx ORDER BY p"
+    alike = ", ".join(f"coalesce(lead(x, {n}) OVER ({place}) = x, false) AS e{n}" for n in sizes)
+    reach = ", ".join(f"min(CASE WHEN NOT e{n} THEN p END) OVER ({place} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - p AS r{n}" for n in sizes)
+    size = "CASE " + " ".join(f"WHEN r{n} >= {2 * n} THEN {n}" for n in sizes) + " END"
+    stop = "p + CASE " + " ".join(f"WHEN r{n} >= {2 * n} THEN {n} * (1 + r{n} // {n})" for n in sizes) + " END"
+    step = "min(c.p) AS p, arg_min(c.n, c.p) AS n, arg_min(c.stop, c.p) AS stop"
+    return f"""{out}_ch AS (SELECT page_id, line_idx, unnest(string_split(text, '')) AS x, unnest(range(length(text))) AS p FROM {source}),
+      {out}_at AS MATERIALIZED (SELECT page_id, line_idx, p, {size} AS n, {stop} AS stop FROM (SELECT page_id, line_idx, p, {reach} FROM (SELECT *, {alike} FROM {out}_ch)) WHERE {size} IS NOT NULL),
+      {out}_walk AS (SELECT page_id, line_idx, {step} FROM {out}_at c GROUP BY page_id, line_idx
+        UNION ALL SELECT c.page_id, c.line_idx, {step} FROM {out}_walk k JOIN {out}_at c ON k.page_id = c.page_id AND k.line_idx = c.line_idx AND c.p >= k.stop GROUP BY c.page_id, c.line_idx),
+      {out}_gone AS (SELECT page_id, line_idx, unnest(range(p + 2 * n, stop)) AS p FROM {out}_walk),
+      {out} AS (SELECT page_id, line_idx, string_agg(x, '' ORDER BY p) AS text FROM {out}_ch ANTI JOIN {out}_gone USING (page_id, line_idx, p) GROUP BY page_id, line_idx)"""
+
+
 def _lines(view, f):
     return lambda spark, sf: f(view(spark, sf)).select("page_id", "line_idx", "text")
 
@@ -145,6 +172,7 @@ def _docx(spark, sf):
 
 
 ALL = " SELECT page_id, line_idx, text FROM "
+phrases = "regexp_replace(regexp_replace(text, '(?:という。){2,}', 'という。', 'g'), '(?:このように, ){2,}', 'このように, ', 'g')"
 _structure = lambda v: with_views(v, more=", ".join([keep_text(v, "a1"), cleaned("a1", "a2"), context("a2", "a3"), digits("a3", "a4"), hyphens("a4", "a5"), distinct_neighbours("a5", "a6")])) + ALL + "a6"
 _score = r"""0.7::DOUBLE + 0.30 * len(regexp_extract_all(text, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}々。、「」（）]')) / length(text)::DOUBLE
   - 0.18 * len(regexp_extract_all(text, '[0-9]')) / length(text)::DOUBLE
@@ -163,11 +191,11 @@ SQL = {
     "rulepack_replace": with_views("lines") + f" SELECT page_id, line_idx, {replaced(PACK.line_replacements)} AS text FROM lines",
     "rulepack_merge": with_views("lines", more=pack_merges("lines", "a1")) + ALL + "a1",
     "rulepack_all": with_views("wrapped", more=pack_merges("wrapped", "a1") + f", a2 AS (SELECT page_id, line_idx, {replaced(PACK.line_replacements)} AS text FROM a1), " + distinct_neighbours("a2", "a3")) + ALL + "a3",
-    "run_limit": with_views("noisy", more="ch AS (SELECT page_id, line_idx, unnest(string_split(text, '')) AS x, unnest(range(length(text))) AS p FROM noisy), "
-    "rn AS (SELECT *, p - row_number() OVER (PARTITION BY page_id, line_idx, x ORDER BY p) AS g FROM ch), "
-    + rf"kp AS (SELECT page_id, line_idx, x, p, row_number() OVER (PARTITION BY page_id, line_idx, x, g ORDER BY p) AS n, CASE WHEN regexp_matches(x, '{WS}') THEN 1000000000 WHEN regexp_matches(x, '[0-9]') THEN 4 WHEN regexp_matches(x, '[^\p{{L}}\p{{M}}\p{{N}}]') THEN 3 ELSE 8 END AS most FROM rn)")
-    + f" SELECT page_id, line_idx, regexp_replace({trim("string_agg(x, '' ORDER BY p)")}, '{WS}+', ' ', 'g') AS text FROM kp WHERE n <= most GROUP BY page_id, line_idx",
-    "phrase_collapse": with_views("noisy") + " SELECT page_id, line_idx, regexp_replace(regexp_replace(text, '(?:という。){2,}', 'という。', 'g'), '(?:このように, ){2,}', 'このように, ', 'g') AS text FROM noisy",
+    "run_limit": with_views("noisy", more=runs("noisy", "a1")) + ALL + "a1",
+    "chunk_collapse": with_views("noisy", more=chunks("noisy", "a1"), recursive=True) + ALL + "a1",
+    "sanitize": with_views("noisy", more=", ".join([runs("noisy", "a1"), chunks("a1", "a2"), f"a3 AS (SELECT page_id, line_idx, {phrases} AS text FROM a2)", f"a4 AS (SELECT page_id, line_idx, ({brackets('acc.o || x', 'acc.o', chr(39) * 2)}).o AS text FROM a3)"]), recursive=True)
+    + f" SELECT page_id, line_idx, {replaced(T.REPLACEMENTS)} AS text FROM a4",
+    "phrase_collapse": with_views("noisy") + f" SELECT page_id, line_idx, {phrases} AS text FROM noisy",
     "bracket_repair": with_views("noisy") + f" SELECT page_id, line_idx, ({brackets('acc.o || x', 'acc.o', chr(39) * 2)}).o AS text FROM noisy",
     "fixed_replace": with_views("noisy") + f" SELECT page_id, line_idx, {replaced(T.REPLACEMENTS)} AS text FROM noisy",
     "quality": with_views("noisy", more=f"q AS (SELECT page_id, line_idx, text, {brackets('acc.o', 'acc.o + 1', '0')} AS b FROM noisy), "

@@ -108,10 +108,11 @@ def v_logits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """One page of 240 x 140 pixels per region, with dark bands."""
-    r = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("page_id"))
+    """One page of 240 x 140 pixels per supplier, with dark bands."""
+    r = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("page_id"))
     df = r.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(139))).alias("y")).select("page_id", "y", F.explode(F.sequence(F.lit(0), F.lit(239))).alias("x"))
-    band = ((F.col("y") + F.col("page_id") * 3) % 41 < 14) & (F.col("x") >= 20 + F.col("page_id") * 5) & (F.col("x") < 180 - F.col("page_id") * 7) & ((F.col("x") + F.col("y")) % 5 < 3)
+    inset = F.col("page_id") % 5
+    band = ((F.col("y") + F.col("page_id") * 3) % 41 < 14) & (F.col("x") >= 20 + inset * 5) & (F.col("x") < 180 - inset * 7) & ((F.col("x") + F.col("y")) % 5 < 3)
     shade = lambda k: F.when(band, (F.col("x") * k + F.col("y")) % 90).otherwise(225 + (F.col("x") * k + F.col("y") * 3) % 30).cast("int")
     return df.select("page_id", "y", "x", shade(1).alias("r"), shade(2).alias("g"), shade(3).alias("b"))
 
@@ -148,16 +149,16 @@ SQL = {
       SELECT * REPLACE (greatest(x0, 0) AS x0, greatest(y0, 0) AS y0, greatest(x1, 0) AS x1, greatest(y1, 0) AS y1) FROM detections WHERE starts_with(class_name, 'line_')) WHERE x1 > x0 AND y1 > y0 AND x1 <= {WIDTH} AND y1 <= {HEIGHT})""",
     "logits": "logits AS (SELECT vec_id AS line_id, t, c, round(embedding[t * 8 + c + 1]::DOUBLE * 20, 4) AS v FROM embeddings, range(8) r1(t), range(8) r2(c))",
     "pixels": """pixels AS (SELECT page_id, y, x, (CASE WHEN band THEN (x + y) % 90 ELSE 225 + (x + y * 3) % 30 END)::INT AS r, (CASE WHEN band THEN (x * 2 + y) % 90 ELSE 225 + (x * 2 + y * 3) % 30 END)::INT AS g, (CASE WHEN band THEN (x * 3 + y) % 90 ELSE 225 + (x * 3 + y * 3) % 30 END)::INT AS b FROM (
-      SELECT r_regionkey::BIGINT AS page_id, y, x, (y + r_regionkey * 3) % 41 < 14 AND x >= 20 + r_regionkey * 5 AND x < 180 - r_regionkey * 7 AND (x + y) % 5 < 3 AS band FROM region, range(140) r1(y), range(240) r2(x)))""",
+      SELECT s_suppkey::BIGINT AS page_id, y, x, (y + s_suppkey * 3) % 41 < 14 AND x >= 20 + s_suppkey % 5 * 5 AND x < 180 - s_suppkey % 5 * 7 AND (x + y) % 5 < 3 AS band FROM supplier, range(140) r1(y), range(240) r2(x)))""",
     "truth": r"truth AS (SELECT 't/' || lpad(item_id::VARCHAR, 6, '0') || '.txt' AS relpath, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS text, item_id FROM benchmark)",
     "pred": "pred AS (SELECT 'same' AS system, relpath, text FROM truth UNION ALL SELECT 'lower', relpath, lower(text) FROM truth UNION ALL SELECT 'vowels', relpath, regexp_replace(text, '[aeiou]', '', 'g') FROM truth WHERE item_id % 7 <> 0)",
 }
 NEEDS = {"wrapped": ("lines",), "cjk": ("lines",), "noisy": ("lines",), "detections": ("raw",), "crops": ("raw", "detections"), "pred": ("truth",)}
 
 
-def with_views(*names: str, more: str = "") -> str:
+def with_views(*names: str, more: str = "", recursive: bool = False) -> str:
     """A WITH clause of the named views and what they need, and ``more`` after them."""
     order: list[str] = []
     for n in names:
         order += [x for x in (*NEEDS.get(n, ()), n) if x not in order]
-    return "WITH " + ", ".join([SQL[n] for n in order] + ([more] if more else []))
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join([SQL[n] for n in order] + ([more] if more else []))
