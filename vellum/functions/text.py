@@ -80,16 +80,21 @@ def _characters(c: Column) -> Column:
 
 def drop_unmatched_closers(c: Column) -> Column:
     """Closing brackets that do not match the innermost open one go; unmatched openers stay."""
-    characters = _characters(c)
+    closers = "[" + "".join(re.escape(x) for _, x in BRACKETS) + "]"
+    return bound(c, lambda t: F.when(t.rlike(closers), bound(_characters(t), _matched)).otherwise(t))
+
+
+def _matched(characters: Column) -> Column:
     zero = F.struct(F.lit("").alias("stack"), F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
 
     def step(a: Column, x: Column) -> Column:
         moved = _bracket_step(a, x, lambda acc, ch, bad: F.when(bad, F.array_append(acc.out, acc.at)).otherwise(acc.out))
         return F.struct(moved.stack.alias("stack"), moved.out.alias("out"), (a.at + 1).alias("at"))
 
-    gone = F.aggregate(characters, zero, step, lambda a: a.out)  # places of the few closers that go
-    kept = F.filter(F.transform(characters, lambda x, i: F.when(~F.array_contains(gone, i), x)), lambda x: x.isNotNull())
-    return F.when(c.rlike("[" + "".join(re.escape(x) for _, x in BRACKETS) + "]"), F.array_join(kept, "")).otherwise(c)
+    def without(gone: Column) -> Column:
+        return F.array_join(F.filter(F.transform(characters, lambda x, i: F.when(~F.array_contains(gone, i), x)), lambda x: x.isNotNull()), "")
+
+    return bound(F.aggregate(characters, zero, step, lambda a: a.out), without)  # places of the few closers that go
 
 
 def unmatched_brackets(c: Column) -> Column:
