@@ -115,8 +115,6 @@ def walk(counts: np.ndarray, n: int) -> Iterator[tuple[tuple[int, ...], np.ndarr
 def orders(table: DataFrame, names: Sequence[str]) -> DataFrame:
     """The rows of ``audit`` from ``cells``. A part's cells travel together: at most 2 ** n of them."""
     n, names = len(names), list(names)
-    if n > MOST_FILTERS:
-        raise ValueError(f"more than {MOST_FILTERS} filters")
     schema = pa.schema([("part", pa.string()), ("filter_order", pa.string()), ("step", pa.int32()), *[(m, pa.int64()) for m in MEASURES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +147,8 @@ def audit(docs: DataFrame, labels: DataFrame, filters: dict[str, Column | str],
     with a smaller id, of any part, has the same text (SHA-256). Labels without a document do not matter. An empty table gives an empty result. Other
     columns, whatever their names, are not read.
     """
+    if len(filters) > MOST_FILTERS:
+        raise ValueError(f"more than {MOST_FILTERS} filters")
     return orders(cells(docs, labels, filters, part), list(filters))
 
 

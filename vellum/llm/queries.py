@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, decontaminate, filteraudit, linededup, passages, perspectives, quality, sharding, simhash, tokenfile, urlfilter
+from vellum.llm import bpe, decontaminate, dimscan, filteraudit, linededup, passages, perspectives, phrases, quality, sharding, simhash, tokenfile, urlfilter
 from vellum.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,6 +51,14 @@ def op10_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimscan.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,11 +74,14 @@ QUERIES = {
     "op8_compact_windows": op8_compact_windows,
     "op9_latent_decontamination": op9_latent_decontamination,
     "op10_simhash_anchor_cover": op10_simhash_anchor_cover,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_dimension_scan": op12_dimension_scan,
     "op13_filter_audit": op13_filter_audit,
 }
 
 SQL: dict[str, str] = {
     "op2_perspective_rotation": perspectives.SQL,
+    "op11_phrase_collocations": phrases.SQL,
     "op13_filter_audit": filteraudit.SQL,
     "op4_line_windows": linededup.SQL.format(docs="documents"),
 }
