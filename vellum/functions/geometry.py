@@ -31,7 +31,7 @@ def char_count(width: Column, height: Column) -> Column:
     return F.greatest(F.lit(1), half_up(width / F.greatest(height, F.lit(1)) * 2.5)).cast("int")
 
 
-def char_bucket(width: Column, height: Column, first: int = 25, second: int = 45) -> Column:
+def char_bucket(width: Column, height: Column, first: int | Column = 25, second: int | Column = 45) -> Column:
     n = char_count(width, height)
     return F.when(n <= first, 3.0).when(n <= second, 2.0).otherwise(100.0)
 
@@ -41,10 +41,10 @@ def near_bucket(c: Column) -> Column:
     return F.when(F.abs(c - 3.0) < 0.2, 3.0).when(F.abs(c - 2.0) < 0.2, 2.0).otherwise(100.0)
 
 
-def pad_box(df: DataFrame, pad: int, width: Column, height: Column) -> DataFrame:
+def pad_box(df: DataFrame, pad: int | Column, width: Column, height: Column) -> DataFrame:
     """Boxes grown by ``pad`` within the page; a box that would be empty keeps its size."""
     grown = {"x0": F.greatest(F.col("x0") - pad, F.lit(0)), "y0": F.greatest(F.col("y0") - pad, F.lit(0)), "x1": F.least(F.col("x1") + pad, width), "y1": F.least(F.col("y1") + pad, height)}
-    fine = (F.lit(pad) > 0) & (grown["x1"] > grown["x0"]) & (grown["y1"] > grown["y0"])
+    fine = ((pad if isinstance(pad, Column) else F.lit(pad)) > 0) & (grown["x1"] > grown["x0"]) & (grown["y1"] > grown["y0"])
     return df.withColumns({k: F.when(fine, v).otherwise(F.col(k)).cast("int") for k, v in grown.items()})
 
 

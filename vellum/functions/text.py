@@ -5,11 +5,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+
+from vellum.functions.distance import list_distance
 
 #: Phrases whose repeats collapse, literal replacements, and bracket pairs.
 PHRASES = ("という。", "このように, ")
@@ -218,32 +217,13 @@ def quality_score(text: Column, confidence: Column) -> Column:
     return F.when(F.length(text) == 0, -1.0).otherwise(score)
 
 
-@F.pandas_udf(IntegerType())
-def _word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance between two lists of words, a row of the table at a time."""
-
-    def one(x, y) -> int | None:
-        if x is None or y is None:
-            return None
-        number: dict[str, int] = {}
-        x, y = (np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in (x, y))
-        steps = np.arange(len(y) + 1)
-        row = steps.copy()
-        for i, w in enumerate(x, 1):
-            best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != w))])
-            row = np.minimum.accumulate(best - steps) + steps
-        return int(row[-1])
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
-
-
 def word_list(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance over white-space words, for any number of distinct ones."""
-    return _word_edits(word_list(a), word_list(b))
+    return list_distance(word_list(a), word_list(b))
 
 
 def word_count(c: Column) -> Column:

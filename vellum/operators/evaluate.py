@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.functions.distance import char_distance
 from vellum.session import ship
 
 
@@ -15,7 +16,7 @@ def file_metrics(truth: DataFrame, predictions: DataFrame, level: str = "basic")
     pairs = truth.select("relpath", F.col("text").alias("truth")).join(predictions, "relpath")
     a, b = T.normalize(F.col("truth"), level), T.normalize(F.col("text"), level)
     df = pairs.select("system", "relpath", a.alias("a"), b.alias("b"))
-    df = df.select("system", "relpath", F.levenshtein("a", "b").alias("char_errors"), F.length("a").alias("char_total"), T.word_distance(F.col("a"), F.col("b")).alias("word_errors"), T.word_count(F.col("a")).alias("word_total"))
+    df = df.select("system", "relpath", char_distance(F.col("a"), F.col("b")).alias("char_errors"), F.length("a").alias("char_total"), T.word_distance(F.col("a"), F.col("b")).alias("word_errors"), T.word_count(F.col("a")).alias("word_total"))
     rate = lambda e, n: F.when(F.col(n) > 0, F.col(e) / F.col(n)).otherwise(F.when(F.col(e) > 0, 1.0).otherwise(0.0))
     return df.withColumns({"cer": rate("char_errors", "char_total"), "wer": rate("word_errors", "word_total")})
 

@@ -1,4 +1,4 @@
-"""Detections and lines of a page: filters, reading order, bands of ink, mock layouts."""
+"""Detections and lines of a page: filters, reading order, mock layouts."""
 
 from __future__ import annotations
 
@@ -41,7 +41,7 @@ def lines_only(detections: DataFrame) -> DataFrame:
     return detections.where(F.col("class_name").startswith("line_"))
 
 
-def crop_boxes(detections: DataFrame, width: Column, height: Column, pad: int = 0) -> DataFrame:
+def crop_boxes(detections: DataFrame, width: Column, height: Column, pad: int | Column = 0) -> DataFrame:
     """Single-page rule: line classes; negative corners become 0; boxes without area or beyond the page go; then padding.
 
     Orientation is that of the padded box."""
@@ -98,40 +98,7 @@ def with_fallback(detections: DataFrame, pages: DataFrame, bands: DataFrame) ->
     return lines.unionByName(bands.join(without, "page_id", "left_semi"))
 
 
-def row_ink(pixels: DataFrame, threshold: int = 220) -> DataFrame:
-    """Dark pixels per scan line: r + g + b < 3 * threshold."""
-    return pixels.groupBy("page_id", "y").agg(F.count_if(F.col("r") + F.col("g") + F.col("b") < 3 * threshold).alias("ink"))
-
-
-def line_spans(ink: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page_id, span, y0, y1): stretches of inked scan lines with gaps of at most two; over six rows; an open one ends at the page's end."""
-    full = ink.join(pages.select("page_id", "width", "height"), "page_id").where(F.col("ink") >= F.greatest(F.lit(8), F.expr("width div 80")))
-    w = Window.partitionBy("page_id").orderBy("y")
-    df = full.withColumn("new", F.coalesce(F.col("y") - F.lag("y").over(w) > 3, F.lit(True)).cast("int"))
-    df = df.withColumn("island", F.sum("new").over(w))
-    spans = df.groupBy("page_id", "island").agg(F.min("y").alias("y0"), F.max("y").alias("last"), F.max("height").alias("height"))
-    end = F.when(F.col("height") - 1 - F.col("last") <= 2, F.col("height")).otherwise(F.col("last") + 1)
-    kept = spans.withColumn("y1", end).where("y1 > y0 + 6")
-    return kept.withColumn("span", F.row_number().over(Window.partitionBy("page_id").orderBy("y0")) - 1).select("page_id", "span", "y0", "y1")
-
-
-def line_bands(pixels: DataFrame, pages: DataFrame, threshold: int = 220) -> DataFrame:
-    """(page_id, span, x0, y0, x1, y1): the spans, narrowed to the columns with enough ink. One plan for pages of any size."""
-    spans = line_spans(row_ink(pixels, threshold), pages)
-    dark = pixels.where(F.col("r") + F.col("g") + F.col("b") < 3 * threshold).select("page_id", "x", "y")
-    # a scan line lies in one span: equi-join on (page, y) instead of a range join
-    rows = spans.withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)))
-    columns = dark.join(rows, ["page_id", "y"]).groupBy("page_id", "span", "x").agg(F.count(F.lit(1)).alias("ink"))
-    most = Window.partitionBy("page_id", "span")
-    scored = columns.join(spans, ["page_id", "span"]).withColumn("most", F.max("ink").over(most))
-    need = F.greatest(F.lit(1), F.expr("(y1 - y0) div 8"), F.ceil(F.col("most") * 0.15))
-    bounds = scored.withColumn("good", F.col("ink") >= need).groupBy("page_id", "span").agg(F.min(F.when(F.col("good"), F.col("x"))).alias("left"), F.max(F.when(F.col("good"), F.col("x"))).alias("right"))
-    out = spans.join(bounds, ["page_id", "span"], "left").join(pages.select("page_id", "width", "height"), "page_id")
-    x0 = F.coalesce(F.greatest(F.col("left") - 2, F.lit(0)), F.lit(0))
-    x1 = F.greatest(F.coalesce(F.least(F.col("right") + 3, F.col("width")), F.col("width")), x0 + 1)
-    return out.select("page_id", "span", x0.alias("x0"), F.greatest(F.col("y0") - 1, F.lit(0)).alias("y0"), x1.alias("x1"), F.least(F.col("y1") + 1, F.col("height")).alias("y1"))
-
-
-def bands_as_detections(bands: DataFrame) -> DataFrame:
-    bucket = G.char_bucket(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    return bands.select("page_id", F.col("span").alias("det_id"), F.lit("line_main").alias("class_name"), F.lit(1.0).alias("confidence"), "x0", "y0", "x1", "y1", bucket.alias("char_count"))
+def bands_as_detections(bands: DataFrame, *keep: str, first: int | Column = 25, second: int | Column = 45) -> DataFrame:
+    """Bands as certain lines, with the bucket of their shape; columns of ``bands`` named in ``keep`` stay."""
+    bucket = G.char_bucket(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), first, second)
+    return bands.select(*keep, "page_id", F.col("span").alias("det_id"), F.lit("line_main").alias("class_name"), F.lit(1.0).alias("confidence"), "x0", "y0", "x1", "y1", bucket.alias("char_count"))

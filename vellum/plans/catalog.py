@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.plans import page_queries, text_queries
+from vellum.plans import flow_queries, page_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **page_queries.QUERIES}
-SQL: dict[str, str] = {**text_queries.SQL, **page_queries.SQL}
+QUERIES: dict = {**text_queries.QUERIES, **page_queries.QUERIES, **flow_queries.QUERIES}
+SQL: dict[str, str] = {**text_queries.SQL, **page_queries.SQL, **flow_queries.SQL}

@@ -9,9 +9,12 @@ from vellum.functions import decode as D
 from vellum.functions import geometry as G
 from vellum.functions import pixels as X
 from vellum.functions import text as T
+from vellum.operators import bands as B
 from vellum.operators import cascade as C
 from vellum.operators import evaluate as E
+from vellum.operators import flow
 from vellum.operators import layout as L
+from vellum.operators import models as M
 from vellum.operators import page_rules as R
 from vellum.plans import text_queries as TQ
 from vellum.plans import views as V
@@ -78,16 +81,6 @@ def supported_ext(s, d):
     return V.table(s, d, "pages").select("page_id", readers.is_supported_image(path).alias("ok"))
 
 
-def _bands(s, d):
-    pages = V.table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("page_id"), F.lit(240).alias("width"), F.lit(140).alias("height"))
-    return V.v_pixels(s, d), pages
-
-
-def line_spans(s, d):
-    pixels, pages = _bands(s, d)
-    return L.line_spans(L.row_ink(pixels), pages)
-
-
 def page_totals(s, d):
     return E.page_totals(V.v_crops(s, d)).select("pages", "lines")
 
@@ -97,12 +90,14 @@ def output_stems(s, d):
     return V.table(s, d, "pages").select("page_id", sinks.output_stem(given, F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.element_at(F.array(*map(F.lit, (".png", "/", "/.x", ""))), (F.col("page_id") % 4 + 1).cast("int")))).alias("stem"))
 
 
-def line_bands(s, d):
-    return L.line_bands(*_bands(s, d))
+def fallback_bands(s, d):
+    return L.bands_as_detections(B.page_bands(V.v_packed(s, d))).select(*BOXES, "char_count")
 
 
-def fallback_bands(s, d):
-    return L.bands_as_detections(L.line_bands(*_bands(s, d))).select(*BOXES, "char_count")
+def detect_bands(s, d):
+    """The detector plug-in's rows, as lines of the page."""
+    raw = M.detect(V.v_packed(s, d), M.BandDetector())
+    return L.lines_only(L.build_detections(raw, 0.25, F.lit(1.0), F.lit(1.0))).select(*BOXES, "score", "char_count")
 
 
 def decode_confidence(s, d):
@@ -144,8 +139,8 @@ def _recognized(s, d):
 
 
 def run_page(s, d):
-    lines = C.cascade(L.crop_boxes_batch(V.v_detections(s, d), F.lit(WIDTH), F.lit(HEIGHT)), SMALL, MIDDLE, LARGE, bucket=F.col("char_count"))
-    return L.reading_order(lines).select("page_id", "line_idx", "text", F.round("confidence", 6).alias("confidence"))
+    lines = flow.detailed_lines(V.v_detections(s, d), F.lit(WIDTH), F.lit(HEIGHT), flow.Models(LARGE, MIDDLE, SMALL))
+    return lines.select("page_id", "line_idx", "text", F.round("confidence", 6).alias("confidence"))
 
 
 def recognize_page(s, d):
@@ -154,14 +149,12 @@ def recognize_page(s, d):
 
 
 def mock_page(s, d):
-    boxes = L.mock_detections(_sizes(s, d), G.normalized_count(F.col("n"), F.col("height")), F.col("c"))
-    lines = L.reading_order(boxes.withColumn("is_vertical", F.col("y1") - F.col("y0") > F.col("x1") - F.col("x0"))).withColumn("is_vertical", F.lit(True))
-    return lines.select("page_id", "line_idx", F.lit("mock100").alias("text"), "confidence", "is_vertical")
+    return flow.mock_pages(_sizes(s, d), F.col("n"), F.col("c"), "mock100", True).select("page_id", "line_idx", "text", "confidence", "is_vertical")
 
 
 def page_batch(s, d):
-    lines = L.reading_order(L.crop_boxes_batch(V.v_detections(s, d).where("confidence > 0.3"), F.lit(WIDTH), F.lit(HEIGHT)))
-    return C.keep_confident(LARGE(lines), 0.0).select("page_id", "line_idx", "text", F.round("mean_confidence", 6).alias("mean_confidence"))
+    lines = flow.batch_lines(V.v_detections(s, d).where("confidence > 0.3"), F.lit(WIDTH), F.lit(HEIGHT), LARGE)
+    return lines.select("page_id", "line_idx", "text", F.round("mean_confidence", 6).alias("mean_confidence"))
 
 
 def _named(s, d):
@@ -202,13 +195,6 @@ def timing_summary(s, d):
     return out.select("files", F.round("total_seconds", 3).alias("total_seconds"), F.round("mean_seconds", 6).alias("mean_seconds"))
 
 
-def _packed(s, d):
-    """Pixels packed into one RGB row per page."""
-    spark_pages = V.v_pixels(s, d).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p"))
-    hexed = F.array_join(F.transform("p", lambda q: F.concat(F.lpad(F.hex(q.r), 2, "0"), F.lpad(F.hex(q.g), 2, "0"), F.lpad(F.hex(q.b), 2, "0"))), "")
-    return spark_pages.select("page_id", F.lit(240).alias("width"), F.lit(140).alias("height"), F.unhex(hexed).alias("rgb"))
-
-
 def crop_pixels(s, d):
     from vellum.session import ship
 
@@ -219,7 +205,7 @@ def crop_pixels(s, d):
     byte = lambda i, c: F.conv(F.hex(F.substring(F.col("cut"), i * 3 + c + 1, F.lit(1))), 16, 10).cast("long")
     # each sum weighs a pixel with its place in the crop
     total = lambda c: F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: byte(i, c) * (i % 13)), F.lit(0).cast("long"), lambda a, v: a + v)
-    return _packed(s, d).select("page_id", cut.alias("cut")).select("page_id", n.cast("long").alias("n"), *[total(c).alias(k) for c, k in enumerate("rgb")])
+    return V.v_packed(s, d).select("page_id", cut.alias("cut")).select("page_id", n.cast("long").alias("n"), *[total(c).alias(k) for c, k in enumerate("rgb")])
 
 
 def _mean(values):
@@ -232,7 +218,7 @@ def _tensor(kind, w, h, box):
 
         ship(s)
         pixels = X.tensor_udf(kind, w, h)(F.col("rgb"), F.col("width"), F.col("height"), *map(F.lit, box))
-        return _packed(s, d).select("page_id", pixels.alias("t")).select("page_id", F.size("t").cast("long").alias("n"), _mean("t").alias("mean"), _mean(F.transform("t", lambda v, i: v * (i % 11))).alias("weighted"))
+        return V.v_packed(s, d).select("page_id", pixels.alias("t")).select("page_id", F.size("t").cast("long").alias("n"), _mean(F.transform("t", lambda v: v.cast("double"))).alias("mean"), _mean(F.transform("t", lambda v, i: v.cast("double") * (i % 11))).alias("weighted"))
 
     return run
 
@@ -252,9 +238,10 @@ QUERIES = {
     "fallback_pages": fallback_pages,
     "input_union": input_union,
     "supported_ext": supported_ext,
-    "row_ink": lambda s, d: L.row_ink(V.v_pixels(s, d)),
-    "line_spans": line_spans,
-    "line_bands": line_bands,
+    "row_ink": lambda s, d: B.page_ink(V.v_packed(s, d)),
+    "line_spans": lambda s, d: B.page_spans(V.v_packed(s, d)),
+    "line_bands": lambda s, d: B.page_bands(V.v_packed(s, d)),
+    "detect_bands": detect_bands,
     "fallback_bands": fallback_bands,
     "argmax_decode": lambda s, d: V.v_logits(s, d).select("line_id", D.decode_logits(F.col("logits"), CHARSET).alias("text")),
     "decode_confidence": decode_confidence,
@@ -326,14 +313,17 @@ _PIXELS = with_views("pixels", more="""ink AS (SELECT page_id, y, count_if(r + g
   cols AS (SELECT *, max(ink) OVER (PARTITION BY page_id, span) AS most FROM (SELECT s.page_id, span, y0, y1, x, count(*) AS ink FROM spans s JOIN pixels p ON s.page_id = p.page_id AND y >= y0 AND y < y1 WHERE r + g + b < 660 GROUP BY s.page_id, span, y0, y1, x)),
   bounds AS (SELECT page_id, span, min(x) AS l, max(x) AS r FROM cols WHERE ink >= greatest(1, (y1 - y0) // 8, ceil(most * 0.15::DOUBLE)) GROUP BY page_id, span),
   bands AS (SELECT s.page_id, s.span, coalesce(greatest(l - 2, 0), 0)::INT AS x0, greatest(y0 - 1, 0)::INT AS y0, greatest(coalesce(least(r + 3, 240), 240), coalesce(greatest(l - 2, 0), 0) + 1)::INT AS x1, least(y1 + 1, 140)::INT AS y1 FROM spans s LEFT JOIN bounds b ON s.page_id = b.page_id AND s.span = b.span)""")
-_MEANS = " SELECT page_id, count(*) AS n, round(avg(v), 4) AS mean, round(avg(v * (place % 11)), 4) AS weighted FROM t GROUP BY page_id"
-_RECOGNIZER = with_views("pixels", more="""spots AS (SELECT i, j, floor(py)::INT AS ya, floor(px)::INT AS xa, py - floor(py) AS wy, px - floor(px) AS wx FROM (
-    SELECT i, j, least(greatest((i + 0.5::DOUBLE) * 2.5 - 0.5, 0), 39) AS py, least(greatest((j + 0.5::DOUBLE) * 1.875 - 0.5, 0), 119) AS px FROM range(16) a(i), range(64) b(j))),
-  corners AS (SELECT i, j, 5 + least(ya + dy, 39) AS y, 10 + least(xa + dx, 119) AS x, (CASE dy WHEN 1 THEN wy ELSE 1 - wy END) * (CASE dx WHEN 1 THEN wx ELSE 1 - wx END) AS w FROM spots, range(2) a(dy), range(2) b(dx)),
-  mixed AS (SELECT page_id, i, j, sum(w * r) AS r, sum(w * g) AS g, sum(w * b) AS b FROM corners JOIN pixels USING (y, x) GROUP BY page_id, i, j),
-  t AS (SELECT page_id, c * 1024 + i * 64 + j AS place, (CASE c WHEN 0 THEN b WHEN 1 THEN g ELSE r END) / 127.5::DOUBLE - 1 AS v FROM mixed, range(3) k(c))""") + _MEANS
+#: The tensors hold single precision, so the twins work in FLOAT step by step; only the sums are in double precision.
+_MEANS = " SELECT page_id, count(*) AS n, round(avg(v::DOUBLE), 4) AS mean, round(avg(v::DOUBLE * (place % 11)), 4) AS weighted FROM t GROUP BY page_id"
+_CORNERS = ", ".join(f"max(CASE WHEN n = {n} THEN {c} END)::FLOAT AS {c}{n}" for c in "rgb" for n in range(4))
+_MIX = lambda c: f"(({c}0 * (1::FLOAT - wx) + {c}1 * wx) * (1::FLOAT - wy) + ({c}2 * (1::FLOAT - wx) + {c}3 * wx) * wy) / 127.5::FLOAT - 1::FLOAT"
+_RECOGNIZER = with_views("pixels", more=f"""spots AS (SELECT i, j, floor(py)::INT AS ya, floor(px)::INT AS xa, py - floor(py) AS wy, px - floor(px) AS wx FROM (
+    SELECT i, j, least(greatest((i::FLOAT + 0.5::FLOAT) * 2.5::FLOAT - 0.5::FLOAT, 0::FLOAT), 39::FLOAT) AS py, least(greatest((j::FLOAT + 0.5::FLOAT) * 1.875::FLOAT - 0.5::FLOAT, 0::FLOAT), 119::FLOAT) AS px FROM range(16) a(i), range(64) b(j))),
+  corners AS (SELECT *, 2 * dy + dx AS n, 5 + least(ya + dy, 39) AS y, 10 + least(xa + dx, 119) AS x FROM spots, range(2) a(dy), range(2) b(dx)),
+  mixed AS (SELECT page_id, i, j, wy, wx, {_CORNERS} FROM corners JOIN pixels USING (y, x) GROUP BY page_id, i, j, wy, wx),
+  t AS (SELECT page_id, k * 1024 + i * 64 + j AS place, CASE k WHEN 0 THEN {_MIX('b')} WHEN 1 THEN {_MIX('g')} ELSE {_MIX('r')} END AS v FROM mixed, range(3) z(k))""") + _MEANS
 _DETECTOR = with_views("pixels", more="""spots AS (SELECT s_suppkey::BIGINT AS page_id, i, j, i * 240 // 32 AS y, j * 240 // 32 AS x FROM supplier, range(32) a(i), range(32) b(j)),
-  t AS (SELECT page_id, c * 1024 + i * 32 + j AS place, (coalesce(CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END, 0) / 255::DOUBLE - m) / d AS v FROM spots LEFT JOIN pixels USING (page_id, y, x), (VALUES (0, 0.485::DOUBLE, 0.229::DOUBLE), (1, 0.456, 0.224), (2, 0.406, 0.225)) k(c, m, d))""") + _MEANS
+  t AS (SELECT page_id, c * 1024 + i * 32 + j AS place, (coalesce(CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END, 0)::FLOAT / 255::FLOAT - m) / d AS v FROM spots LEFT JOIN pixels USING (page_id, y, x), (VALUES (0, 0.485::FLOAT, 0.229::FLOAT), (1, 0.456::FLOAT, 0.224::FLOAT), (2, 0.406::FLOAT, 0.225::FLOAT)) k(c, m, d))""") + _MEANS
 _TOKENS = "am AS (SELECT line_id, t, arg_max(c, (v, -c)) AS i, 1.0 / sum(exp(v - m)) AS p FROM (SELECT *, max(v) OVER (PARTITION BY line_id, t) AS m FROM logits) GROUP BY line_id, t)"
 _METRICS = with_views("pred", more=f"fm AS (SELECT system, relpath, levenshtein(a, b) AS char_errors, length(a) AS char_total FROM (SELECT p.system, p.relpath, {TQ.folded('t.text', 'strict')} AS a, {TQ.folded('p.text', 'strict')} AS b FROM truth t JOIN pred p ON t.relpath = p.relpath)), sm AS (SELECT system, count(*) AS matched, sum(char_errors) AS char_errors, sum(char_total) AS char_total, sum(char_errors) / sum(char_total)::DOUBLE AS cer FROM fm GROUP BY system)")
 _MISSING = "missing AS (SELECT system, relpath FROM (SELECT s.system, t.relpath FROM (SELECT DISTINCT system FROM pred) s, truth t) w ANTI JOIN pred p USING (system, relpath))"
@@ -379,6 +369,7 @@ SQL = {
     "row_ink": _PIXELS + " SELECT page_id, y, ink FROM ink",
     "line_spans": _PIXELS + " SELECT page_id, span, y0, y1 FROM spans",
     "line_bands": _PIXELS + " SELECT page_id, span, x0, y0, x1, y1 FROM bands",
+    "detect_bands": _PIXELS + " SELECT page_id, span AS det_id, 'line_main' AS class_name, x0, y0, x1, y1, 1.0::DOUBLE AS score, 100.0::DOUBLE AS char_count FROM bands",
     "fallback_bands": _PIXELS + f" SELECT page_id, span AS det_id, 'line_main' AS class_name, x0, y0, x1, y1, {_BUCKET} AS char_count FROM bands",
     "argmax_decode": with_views("logits", more=_TOKENS) + f" SELECT line_id, coalesce(string_agg(substr('{CHARSET}', i::INT, 1), '' ORDER BY t) FILTER (t < stop), '') AS text FROM (SELECT *, coalesce(min(CASE WHEN i = 0 THEN t END) OVER (PARTITION BY line_id), 99) AS stop FROM am) GROUP BY line_id",
     "decode_confidence": with_views("logits", more=_TOKENS) + f" SELECT line_id, coalesce(string_agg(substr('{CHARSET}', i::INT, 1), '' ORDER BY t) FILTER (t < stop), '') AS text, round(coalesce(avg(p) FILTER (t < stop), 0), 6) AS mean_confidence FROM (SELECT *, coalesce(min(CASE WHEN i = 0 OR (t >= 2 AND p < 0.35) THEN t END) OVER (PARTITION BY line_id), 99) AS stop FROM am) GROUP BY line_id",

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from vellum.functions import geometry as G
 from vellum.operators import layout
+from vellum.session import ship
 
 WIDTH, HEIGHT = 1000, 1200
 CJK_FROM, CJK_TO = "teonhairdsu", "第条()1目の（）よう"
@@ -107,14 +112,24 @@ def v_logits(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("line_id"), F.transform(F.sequence(F.lit(0), F.lit(7)), cell).alias("logits"))
 
 
-def v_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """One page of 240 x 140 pixels per supplier, with dark bands."""
-    r = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("page_id"))
-    df = r.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(139))).alias("y")).select("page_id", "y", F.explode(F.sequence(F.lit(0), F.lit(239))).alias("x"))
-    inset = F.col("page_id") % 5
-    band = ((F.col("y") + F.col("page_id") * 3) % 41 < 14) & (F.col("x") >= 20 + inset * 5) & (F.col("x") < 180 - inset * 7) & ((F.col("x") + F.col("y")) % 5 < 3)
-    shade = lambda k: F.when(band, (F.col("x") * k + F.col("y")) % 90).otherwise(225 + (F.col("x") * k + F.col("y") * 3) % 30).cast("int")
-    return df.select("page_id", "y", "x", shade(1).alias("r"), shade(2).alias("g"), shade(3).alias("b"))
+def v_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, width, height, rgb): one page of 240 x 140 pixels per supplier, with dark bands, drawn as packed RGB rows."""
+    ship(spark)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = np.mgrid[:140, :240]
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                ids, pages = b.column(0).slice(at, 256), []
+                for i in ids.to_pylist():
+                    inset = i % 5
+                    band = ((y + i * 3) % 41 < 14) & (x >= 20 + inset * 5) & (x < 180 - inset * 7) & ((x + y) % 5 < 3)
+                    shades = [np.where(band, (x * k + y) % 90, 225 + (x * k + y * 3) % 30) for k in (1, 2, 3)]
+                    pages.append(np.stack(shades, axis=2).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(pages, pa.binary())], names=["page_id", "rgb"])
+
+    drawn = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("page_id")).mapInArrow(draw, "page_id bigint, rgb binary")
+    return drawn.select("page_id", F.lit(240).alias("width"), F.lit(140).alias("height"), "rgb")
 
 
 def v_truth(spark: SparkSession, sf: str) -> DataFrame:

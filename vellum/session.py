@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -31,3 +32,21 @@ def ship(spark: SparkSession) -> None:
                 z.write(path, os.path.relpath(path, os.path.dirname(top)))
     sc.addPyFile(target)
     sc._vellum_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; a local session that names none gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vellum-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` worked out once, into a Parquet table in the shared folder that later branches read; a lost executor costs a re-read only."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
