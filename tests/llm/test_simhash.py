@@ -67,6 +67,21 @@ def test_similar_texts_by_recall_and_precision(spark):
     assert sum(near(0.8, 1.0)) >= 0.9 * len(near(0.8, 1.0)) and sum(near(0.9, 1.0)) >= 0.95 * len(near(0.9, 1.0))
 
 
+def test_recall_at_the_threshold_itself(spark):
+    """Pairs whose similarity is 0.80 to 0.82, and no more."""
+    draw, rows = random.Random(12), []
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrst") for _ in range(5))
+    while len(rows) < 2 * 700:
+        w = [word() for _ in range(draw.choice((60, 150, 400, 900)))]
+        copy = list(w)
+        while jaccard(" ".join(w), " ".join(copy)) > 0.82:
+            copy[draw.randrange(len(w))] = word()
+        if jaccard(" ".join(w), " ".join(copy)) >= 0.8:
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(copy))]
+    root = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(root[k + 1] == k for k in range(0, len(rows), 2)) >= 0.9 * len(rows) / 2
+
+
 def test_a_large_group_of_near_copies_gives_few_pairs(spark):
     draw = random.Random(2)
     base = [f"w{draw.randrange(10**6)}" for _ in range(300)]
@@ -77,7 +92,7 @@ def test_a_large_group_of_near_copies_gives_few_pairs(spark):
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [0]
-    ids = simhash._shingled(docs, "doc_id", "text", "check bigint, parts array<bigint>", lambda own: (int(simhash.wide_fingerprint(own)[0].astype("<i8")), (simhash.wide_fingerprint(own).view("<u4") & 0x7FFFFFFF).astype("int64").tolist()))
+    ids = simhash._shingled(docs, "doc_id", "text", "check bigint, parts array<bigint>", simhash.wide_parts)
     assert simhash.wide_candidates(ids.drop("id")).count() < 400 * 40
 
 
