@@ -8,8 +8,11 @@ others. So a verdict is never a label read back, and ``held_out`` tells what ver
 
 from __future__ import annotations
 
+import warnings
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -23,7 +26,7 @@ from vellum.llm.common import cut, fresh, sized
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: The parts of a host name that label a URL as unwanted.
 SEED_TERMS = ("ads", "adult", "bet", "bets", "casino", "loans", "lottery", "pills", "porn", "replica", "spam", "viagra", "warez", "xxx")
-#: The trees are fitted on at most about this many distinct labelled URLs, chosen by hash.
+#: The trees are fitted on at most about this many distinct labelled URLs, chosen by hash; those of the folds share them.
 SAMPLE_ROWS = 20_000
 #: Parts that sites are dealt into where the labels are seed labels.
 FOLDS = 5
@@ -83,42 +86,70 @@ def seed_labels() -> Column:
     return F.when(F.length("host_") > 0, F.arrays_overlap(parts, F.array(*map(F.lit, SEED_TERMS))).cast("double"))
 
 
-def suffix_statistics(labelled: DataFrame, total: dict[float, int]) -> DataFrame:
-    """(suffix_, suffix_rate, suffix_share): the smoothed rate of unwanted URLs and the log share of each last host label.
-
-    ``total`` has the number of rows of each label.
-    """
-    rows, bad = float(sum(total.values())), float(total.get(1.0, 0))
-    by = labelled.groupBy("suffix_").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
+def suffix_rates(by: DataFrame) -> DataFrame:
+    """(suffix_, suffix_rate, suffix_share) from counts (suffix_, n, bad): the smoothed rate of unwanted URLs and the log share of each last host label."""
+    rows, bad = by.agg(F.sum("n"), F.sum("bad")).first()
     rate = (F.col("bad") + 20.0 * bad / rows) / (F.col("n") + 20.0)
-    return cut(by.select("suffix_", rate.alias("suffix_rate"), F.log(F.col("n") / rows).alias("suffix_share")))
+    return by.select("suffix_", rate.alias("suffix_rate"), F.log(F.col("n") / rows).alias("suffix_share"))
 
 
 def with_suffixes(df: DataFrame, suffixes: DataFrame) -> DataFrame:
-    return df.join(sized(suffixes), "suffix_", "left").fillna({"suffix_rate": 0.0, "suffix_share": -20.0})
+    """``df`` with the statistics of its suffix, in its fold if ``suffixes`` has folds."""
+    keys = [c for c in ("fold_", "suffix_") if c in suffixes.columns]
+    return df.join(sized(suffixes), keys, "left").fillna({"suffix_rate": 0.0, "suffix_share": -20.0})
+
+
+def sampled(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most about ``sample_rows`` distinct URLs of ``labelled``: those whose hash, as a fraction, falls below the share that gives that many."""
+    share = min(1.0, sample_rows / max(1, labelled.agg(F.approx_count_distinct("url_", 0.01)).first()[0]))
+    return labelled.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "url_"), 11) / float(1 << 53) < share).dropDuplicates(["url_", "label"])
+
+
+def trained(ready: DataFrame, trees: int = 10, depth: int = 3, name: str = "") -> PipelineModel:
+    """Trees from rows of FEATURES and label; the columns that they add carry ``name``."""
+    features = VectorAssembler(inputCols=list(FEATURES), outputCol=f"features{name}_")
+    gbt = GBTClassifier(featuresCol=f"features{name}_", labelCol="label", predictionCol=f"prediction{name}_", maxIter=trees, maxDepth=depth, seed=7)
+    gbt = gbt.setRawPredictionCol(f"raw{name}_").setProbabilityCol(f"probability{name}_")
+    return PipelineModel([features, gbt.fit(features.transform(ready))])
 
 
 def fit(labelled: DataFrame, trees: int = 10, depth: int = 3, sample_rows: int = SAMPLE_ROWS) -> tuple[PipelineModel, DataFrame] | None:
     """Trees and suffix statistics from rows of (lexical features, suffix_, label). None unless both labels occur.
 
-    At most about ``sample_rows`` distinct URLs are used: those whose hash, as a fraction, falls below the share that gives that
-    many, at any number of rows; a URL that repeats counts once. The suffix statistics take every labelled row.
+    A URL that repeats counts once for the trees (see ``sampled``). The suffix statistics take every labelled row.
     """
     labelled = labelled.where("label is not null")
-    total = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}  # at most two rows
-    if len(total) < 2:
+    if labelled.select("label").distinct().count() < 2:
         return None
-    share = min(1.0, sample_rows / max(1, labelled.agg(F.approx_count_distinct("url_", 0.01)).first()[0]))
-    suffixes = suffix_statistics(labelled, total)
-    sample = labelled.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "url_"), 11) / float(1 << 53) < share).dropDuplicates(["url_", "label"])
-    ready = cut(with_suffixes(sample, suffixes).select(*FEATURES, "label"))
+    suffixes = cut(suffix_rates(labelled.groupBy("suffix_").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))))
+    ready = cut(with_suffixes(sampled(labelled, sample_rows), suffixes).select(*FEATURES, "label"))
     if ready.select("label").distinct().count() < 2:
         return None
-    stages = VectorAssembler(inputCols=list(FEATURES), outputCol="features_")
-    gbt = GBTClassifier(featuresCol="features_", labelCol="label", predictionCol="prediction_", maxIter=trees, maxDepth=depth, seed=7)
-    gbt = gbt.setRawPredictionCol("raw_").setProbabilityCol("probability_")
-    model = gbt.fit(stages.transform(ready))
-    return PipelineModel([stages, model]), suffixes
+    return trained(ready, trees, depth), suffixes
+
+
+def fit_folds(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[PipelineModel | None], DataFrame]:
+    """For each of FOLDS the trees of all other folds, and (fold_, suffix_, ...) statistics of all others; from one sample of labelled rows with fold_.
+
+    The fits have small inputs and many small jobs, so they run side by side. A fold whose others lack a label has no trees, which is warned of.
+    """
+    counts = cut(labelled.groupBy("fold_", "suffix_").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")))
+    sample = cut(sampled(labelled, sample_rows).select("fold_", "suffix_", "label", *[c for c in FEATURES if not c.startswith("suffix_")]))
+    seen = {(r.fold_, r.label) for r in sample.select("fold_", "label").distinct().collect()}  # at most 2 * FOLDS rows
+
+    def one(k: int) -> tuple[PipelineModel | None, DataFrame | None]:
+        if len({label for fold, label in seen if fold != k}) < 2:
+            warnings.warn(f"URLs of fold {k} of {FOLDS} are judged by rules only: the other folds have no wanted or no unwanted URLs", stacklevel=2)
+            return None, None
+        rates = suffix_rates(counts.where(F.col("fold_") != k).groupBy("suffix_").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+        ready = with_suffixes(sample.where(F.col("fold_") != k).drop("fold_"), rates).select(*FEATURES, "label")
+        return trained(ready, name=str(k)), rates.withColumn("fold_", F.lit(k).cast("long"))
+
+    with ThreadPoolExecutor(FOLDS) as pool:
+        models, rates = zip(*pool.map(inheritable_thread_target(labelled.sparkSession)(one), range(FOLDS)), strict=True)
+    some = [r for r in rates if r is not None]
+    none = labelled.sparkSession.createDataFrame([], "suffix_ string, suffix_rate double, suffix_share double, fold_ bigint")
+    return list(models), cut(reduce(DataFrame.unionByName, some)) if some else none
 
 
 def site(host_col: Column) -> Column:
@@ -144,16 +175,24 @@ def scored(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``rows`` (with url_, host_ and path_) and their score: by the trees of ``labels``, or by those of the other folds."""
     if labels is not None:
         return _score(rows, fit(cut(lexical(_read(labels.select(F.col("url").alias("given_"), F.col("label").cast("double")), "given_")).drop("given_"))))
-    fold = F.pmod(F.xxhash64(F.lit("fold"), site(F.col("host_"))), F.lit(FOLDS))
-    known = cut(lexical(rows.select("url_", "host_", "path_", seed_labels().alias("label"))).withColumn("fold_", fold))
-    out = [_score(rows.where(fold == k), fit(known.where(F.col("fold_") != k))) for k in range(FOLDS)]
-    return reduce(DataFrame.unionByName, out)
+    fold = F.pmod(F.xxhash64(F.lit("fold"), site(F.col("host_"))), F.lit(FOLDS)).cast("long")
+    features = lexical(rows).withColumn("fold_", fold)
+    known = features.withColumn("label", seed_labels()).where("label is not null")
+    models, suffixes = fit_folds(cut(known.select("url_", "fold_", "suffix_", "label", *[c for c in FEATURES if not c.startswith("suffix_")])))
+    found = with_suffixes(features, suffixes)  # features are worked out once, and all models read them in one pass
+    score = F.lit(0.0)
+    for k, model in enumerate(models):
+        if model is not None:
+            found = model.transform(found)
+            score = F.when(F.col("fold_") == k, F.get(vector_to_array(f"probability{k}_"), F.lit(1))).otherwise(score)
+    return found.select(*rows.columns, score.alias("score"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None, rules=RULES) -> DataFrame:
     """(id, host, path, rule, verdict, score) for every row of ``pages``.
 
-    ``labels`` (url, label 0/1) trains the trees; without it the seed terms do, on other sites than the one that is judged. A
+    ``labels`` (url, label 0/1) trains the trees; without it the seed terms do, on other sites than the one that is judged: if these are
+    all wanted or all unwanted, a warning says so and the URLs that no rule fits are allowed. A
     null URL, or one without ``://``, has an empty host and path, fits no rule and is scored like any other. If the labels are
     all alike, or there are none, URLs that no rule fits are allowed. Very long URLs are taken whole. Repeated rows get equal
     results; other columns do not matter; an empty table gives an empty result.
