@@ -64,6 +64,13 @@ def test_written_shards(spark, sf, tmp_path):
     assert back.select(docs.columns).exceptAll(docs).isEmpty() and back.count() == docs.count()
 
 
+def test_written_columns_keep_their_names(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id as doc_id", "id as PART_", "cast(null as string) as part__")
+    S.write_shards(rows, f"{tmp_path}/s", 3, 5)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert back.select("doc_id", "PART_", "part__").exceptAll(rows).isEmpty() and back.count() == 50
+
+
 def test_stays_in_the_jvm(spark, sf):
     plan = S.shard_documents(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)

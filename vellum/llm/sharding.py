@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, numbered
+from vellum.llm.common import cut, fresh, numbered
 
 POINTS = 128  # virtual nodes per shard
 CELL_BITS = 12
@@ -101,8 +101,13 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, rows_per_file: int = 1_000_000) -> None:
-    """Write whole rows to ``path``/shard=N. Rows of a shard go to as many tasks as they need, not to one."""
+    """Write whole rows to ``path``/shard=N. Rows of a shard go to as many tasks as they need, not to one.
+
+    Nulls are values like any other, rows that repeat are written as often as they occur, long texts whole; all columns of ``docs`` are
+    kept, whatever their names, but for shard and slot, which ``place`` refuses. An empty table leaves a folder without a shard.
+    """
     placed = place(docs, shards)
-    spread = placed.withColumn("part_", F.expr(f"slot div {rows_per_file}"))
-    spread.repartition("shard", "part_").drop("part_").write.mode("overwrite").partitionBy("shard").parquet(path)
+    part = fresh(placed, "part_")
+    spread = placed.withColumn(part, F.expr(f"slot div {rows_per_file}"))
+    spread.repartition("shard", part).drop(part).write.mode("overwrite").partitionBy("shard").parquet(path)
 
