@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import remember
 from vellum.session import ship as ship  # noqa: PLC0414
 
 #: Words are maximal runs of characters other than the six ASCII white-space characters.
@@ -51,11 +53,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Like ``cut``, for wide rows: a Parquet table in the shared folder, of which later passes read the columns they need."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = remember(f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the executors drop the shuffle files of plans that nothing refers to any more; otherwise they stay until the driver's next collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, count: str, number: str) -> DataFrame:
     """Each row as often as its column ``count`` says, with ``number`` from 1. Copies are made STEP at a time, so no array is large."""
     many, left = fresh(df, "many_"), fresh(df, "left_")
