@@ -100,6 +100,18 @@ def test_image_files_and_tiles(spark, tmp_path, kind):
         images.page_tiles(spark, str(tmp_path)).collect()
 
 
+def test_from_image_files_to_text(spark, sf, tmp_path):
+    drawn = V.v_packed(spark, sf).collect()
+    for r in drawn:
+        (tmp_path / f"p{r.page_id}.png").write_bytes(images.png(r.width, r.height, bytes(r.rgb), images.UP))
+    read = images.whole_pages(images.page_tiles(spark, str(tmp_path), tileBytes=240 * 3 * 50)).withColumn("collection", F.lit("a"))
+    number = F.regexp_extract("path", r"p(\d+)\.png$", 1).cast("long")
+    texts = flow.recognize_pages(read, None, {"a": {}}, Q.MODELS).join(read.select("page_id", number.alias("n")), "page_id")
+    wanted = flow.recognize_pages(V.v_packed(spark, sf).withColumn("collection", F.lit("a")), None, {"a": {}}, Q.MODELS)
+    found = {r.n: r.text for r in texts.collect()}
+    assert found and found == {r.page_id: r.text for r in wanted.collect()}
+
+
 def test_filters_that_need_each_byte():
     above, line = np.array([10, 20, 30, 40, 50, 60], np.uint8), np.array([1, 2, 3, 250, 5, 6], np.uint8)
     assert images._unfiltered(images.AVERAGE, line, above, 3).tolist() == [6, 12, 18, 17, 36, 45]

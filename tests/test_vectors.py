@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import sys
+import types
 import zipfile
 from io import BytesIO
 
@@ -158,18 +161,6 @@ def test_outputs(spark):
     assert "A &amp; B &lt; C &gt; D" in part and part.count("<w:p>") == 2
 
 
-def test_page_files(spark, tmp_path):
-    lines = spark.createDataFrame([(1, 0, 1, 2, 3, 9, "abc", 0.9, True), (1, 1, 4, 4, 9, 6, "<x", 0.8, False)], "page_id bigint, line_idx int, x0 int, y0 int, x1 int, y1 int, text string, confidence double, is_vertical boolean")
-    pages = spark.createDataFrame([(1, 100, 200, "in/p.png", "p.png"), (2, 5, 5, "in/q", "same"), (3, 5, 5, "in/q", "same")], "page_id bigint, width int, height int, path string, name string")
-    found = {(r.page_id, r.kind): r.path for r in sinks.write_page_files(lines, pages, f"{tmp_path}/out").collect()}
-    assert len(found) == 12 and found[1, "txt"].endswith("/p.txt") and found[2, "xml"].endswith("/same-2.xml")
-    body = {k: open(v, "rb").read() for k, v in found.items()}
-    assert body[1, "txt"] == b"abc\n<x" and b'"id": 1' in body[1, "json"] and b"&lt;x" in body[1, "xml"] and body[2, "txt"] == b""
-    assert zipfile.ZipFile(BytesIO(body[3, "docx"])).namelist()[-1] == "word/document.xml"
-    sinks.write_artifacts(lines, pages, f"{tmp_path}/tables")
-    assert spark.read.parquet(f"{tmp_path}/tables/json").count() == 3
-
-
 def test_reports(spark, tmp_path):
     truth = spark.createDataFrame([("a.txt", "one two"), ("b.txt", "x")], "relpath string, text string")
     pred = spark.createDataFrame([("s", "a.txt", "one too"), ("t", "a.txt", "one two"), ("t", "b.txt", "x")], "system string, relpath string, text string")
@@ -186,17 +177,29 @@ def test_reports(spark, tmp_path):
     back = readers.timings(spark, f"{tmp_path}/t")
     assert [r.stem for r in back.orderBy("stem").collect()] == ["first", "second"] and back.where("wall_seconds >= 0").count() == 2
     report = sinks.combined_report("Both", timing, systems, missing, "basic")
-    assert "- files: 2" in report and "| t | 0.000000" in report and "Missing from s" in report and report.index("| t |") < report.index("| s |")
+    assert "- files: 2" in report and "| t | 2 | 0 | 0.000000" in report and "Missing from s" in report and report.index("| t |") < report.index("| s |")
     sinks.metrics_csv(metrics, f"{tmp_path}/m")
     assert spark.read.csv(f"{tmp_path}/m", header=True).columns[:4] == ["system", "file", "cer", "wer"]
     assert E.page_totals(truth.withColumn("page_id", F.lit(1)), 2.0, 5.0).first().ratio == 2.5
 
 
-def test_settings_and_yaml(spark, tmp_path):
+def test_settings_and_yaml(spark, tmp_path, monkeypatch):
     readers.check_settings("text", None)
     for bad in (("", None), ("x", " ")):
         with pytest.raises(ValueError):
             readers.check_settings(*bad)
+    yaml = types.ModuleType("yaml")  # YAML's flow style is JSON's, so the reader can be tried without the package
+    yaml.safe_load = json.loads
+    monkeypatch.setitem(sys.modules, "yaml", yaml)
+    assert readers.charset('{"model": {"charset_train": ["ab", "c"]}}') == ["a", "b", "c"]
+    assert P.dictionary('[{"from": "a", "to": "b"}, {"from": "", "to": "c"}]') == [("a", "b")]
+    assert P.rule_pack('{"merge_rules": [{"left_suffix": "a", "right_prefix": "b"}]}').merge_rules == (P.MergeRule("a", "b", 0),)
+    monkeypatch.setitem(sys.modules, "yaml", None)
+    with pytest.raises(RuntimeError, match="yaml"):
+        P.dictionary("[]")
+
+
+def test_yaml_package(spark):
     pytest.importorskip("yaml")
     assert readers.charset("model:\n  charset_train: [ab, c]\n") == ["a", "b", "c"]
     assert P.dictionary("- {from: a, to: b}\n- {from: '', to: c}\n") == [("a", "b")]

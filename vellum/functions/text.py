@@ -128,7 +128,7 @@ def _first(c: Column, what: str) -> Column:
 
 def clean_line(c: Column) -> Column:
     """Trims; tidies article headings, tails after short parenthetical labels, and numbered-item prefixes."""
-    return bound(trim(c), _clean)
+    return bound(trim(c), lambda t: F.when(F.left(t, F.lit(1)).isin("第", "(", "（"), _clean(t)).otherwise(t))  # few lines begin so
 
 
 def _clean(t: Column) -> Column:

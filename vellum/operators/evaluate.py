@@ -21,7 +21,11 @@ def file_metrics(truth: DataFrame, predictions: DataFrame, level: str = "basic")
     return df.withColumns({"cer": rate("char_errors", "char_total"), "wer": rate("word_errors", "word_total")})
 
 
-def systems_of(predictions: DataFrame, most: int = 1000) -> list[str]:
+#: Compared systems.
+MOST_SYSTEMS = 1000
+
+
+def systems_of(predictions: DataFrame, most: int = MOST_SYSTEMS) -> list[str]:
     """The names of the compared systems, which are configuration: more than ``most`` are an error."""
     names = [r.system for r in predictions.select("system").distinct().limit(most + 1).collect()]
     if len(names) > most:
@@ -65,8 +69,32 @@ def deltas(systems: DataFrame, baseline: str) -> DataFrame:
 
 
 def ranked(systems: DataFrame) -> DataFrame:
-    """Systems by character error rate, best first, ties by name."""
-    return systems.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cer", "system")))
+    """Systems by character error rate, best first, ties by name. They are configuration: more than MOST_SYSTEMS are an error, as one task ranks them."""
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cer", "system"))
+    return systems.withColumn("place", F.when(place <= MOST_SYSTEMS, place).otherwise(F.raise_error(F.lit(f"more than {MOST_SYSTEMS} systems")).cast("int")))
+
+
+def cube(truth: DataFrame, predictions: DataFrame, levels: tuple[str, ...] = ("none", "basic", "strict"), baseline: str | None = None) -> DataFrame:
+    """(level, system, is_total, matched, missing, char_errors, char_total, word_errors, word_total, cer, wer, delta_cer, delta_wer).
+
+    A row for each normalisation level and system, and one for all systems of a level (system null), in one pass over the pairs.
+    Deltas are against the baseline's row of the same level; null without one. A truth without a prediction is missing at every level.
+    """
+    ship(truth.sparkSession)
+    pairs = truth.select("relpath", F.col("text").alias("truth")).join(predictions, "relpath")
+    forms = F.array(*[F.struct(F.lit(level).alias("level"), T.normalize(F.col("truth"), level).alias("a"), T.normalize(F.col("text"), level).alias("b")) for level in levels])
+    files = pairs.select("system", F.explode(forms).alias("f")).select("system", "f.*")
+    a, b = F.col("a"), F.col("b")
+    files = files.select("level", "system", char_distance(a, b).alias("char_errors"), F.length(a).alias("char_total"), T.word_distance(a, b).alias("word_errors"), T.word_count(a).alias("word_total"))
+    counts = [F.count(F.lit(1)).alias("matched"), *[F.sum(c).alias(c) for c in ("char_errors", "char_total", "word_errors", "word_total")]]
+    sums = files.groupingSets([["level", "system"], ["level"]], "level", "system").agg(*counts, (F.grouping("system") == 1).alias("is_total"))
+    absent = missing_files(truth, predictions).rollup("system").agg(F.count(F.lit(1)).alias("missing"), (F.grouping("system") == 1).alias("all_")).withColumnRenamed("system", "of_")
+    joined = sums.join(absent, sums["system"].eqNullSafe(absent["of_"]) & (sums["is_total"] == absent["all_"]), "left").drop("of_", "all_").fillna(0, ["missing"])
+    rate = lambda e, n: F.when(F.col(n) > 0, F.col(e) / F.col(n)).otherwise(0.0)
+    rated = joined.withColumns({"cer": rate("char_errors", "char_total"), "wer": rate("word_errors", "word_total")})
+    base = lambda c: F.max(F.when(~F.col("is_total") & (F.col("system") == baseline), F.col(c))).over(Window.partitionBy("level"))
+    out = rated.withColumns({f"delta_{c}": F.col(c) - base(c) for c in ("cer", "wer")})
+    return out.select("level", "system", "is_total", "matched", "missing", "char_errors", "char_total", "word_errors", "word_total", "cer", "wer", "delta_cer", "delta_wer")
 
 
 def top_missing(missing: DataFrame, n: int = 30) -> DataFrame:

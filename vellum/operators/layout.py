@@ -70,6 +70,15 @@ def reading_order(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line_idx", F.row_number().over(Window.partitionBy("page_id").orderBy(*order)) - 1)
 
 
+def restore_order(lines: DataFrame, ordered: DataFrame) -> DataFrame:
+    """``lines`` with ``place``: where the first equal box of its page stands in ``ordered`` (page_id, box, line_idx); null if none does.
+
+    Equal boxes share a place; sort by (place, det_id), nulls last, to have the lines in that order again.
+    """
+    first = ordered.groupBy("page_id", *G.BOX).agg(F.min("line_idx").alias("place"))
+    return lines.join(first, ["page_id", *G.BOX], "left")
+
+
 def page_counts(detections: DataFrame) -> DataFrame:
     return detections.groupBy("page_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("class_name").startswith("line_")).alias("n_lines"))
 

@@ -190,6 +190,20 @@ def cer_delta(s, d):
     return E.deltas(E.system_metrics(_metrics(s, d)), "lower").select("system", F.round("cer", 9).alias("cer"), F.round("delta_cer", 9).alias("delta_cer"))
 
 
+def evaluation_cube(s, d):
+    """Three normalisation levels, all systems and their total in one pass, with differences from one of them."""
+    out = E.cube(V.v_truth(s, d), V.v_pred(s, d), baseline="lower")
+    return out.select("level", "system", "is_total", "matched", "missing", "char_errors", "char_total", "word_errors", "word_total", *[F.round(c, 9).alias(c) for c in ("cer", "wer", "delta_cer", "delta_wer")])
+
+
+def order_restored(s, d):
+    """Lines of each page as read in order, a third of them twice, put back by the place of the first equal box."""
+    lines = V.v_crops(s, d)
+    again = lines.where("det_id % 3 = 0").withColumn("det_id", F.col("det_id") + 1000)
+    both = lines.unionByName(again)
+    return L.restore_order(both, L.reading_order(both)).select("page_id", "det_id", "place")
+
+
 def timing_summary(s, d):
     out = E.timing_summary(V.table(s, d, "events").select(F.col("value").alias("wall_seconds")))
     return out.select("files", F.round("total_seconds", 3).alias("total_seconds"), F.round("mean_seconds", 6).alias("mean_seconds"))
@@ -267,6 +281,8 @@ QUERIES = {
     "output_stems": output_stems,
     "missing_files": lambda s, d: E.missing_files(V.v_truth(s, d), V.v_pred(s, d)),
     "missing_top30": lambda s, d: E.top_missing(E.missing_files(V.v_truth(s, d), V.v_pred(s, d))),
+    "evaluation_cube": evaluation_cube,
+    "order_restored": order_restored,
     "timing_summary": timing_summary,
     "fixture_stem": lambda s, d: V.table(s, d, "pages").select("page_id", T.url_stem(F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_extract("url", r"^(\w+://[^/]*)", 1), F.lit("/law/129AC0!x?foo=1#a"))).otherwise(F.col("url"))).alias("stem")),
     "crop_pixels": crop_pixels,
@@ -325,7 +341,15 @@ _RECOGNIZER = with_views("pixels", more=f"""spots AS (SELECT i, j, floor(py)::IN
 _DETECTOR = with_views("pixels", more="""spots AS (SELECT s_suppkey::BIGINT AS page_id, i, j, i * 240 // 32 AS y, j * 240 // 32 AS x FROM supplier, range(32) a(i), range(32) b(j)),
   t AS (SELECT page_id, c * 1024 + i * 32 + j AS place, (coalesce(CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END, 0)::FLOAT / 255::FLOAT - m) / d AS v FROM spots LEFT JOIN pixels USING (page_id, y, x), (VALUES (0, 0.485::FLOAT, 0.229::FLOAT), (1, 0.456::FLOAT, 0.224::FLOAT), (2, 0.406::FLOAT, 0.225::FLOAT)) k(c, m, d))""") + _MEANS
 _TOKENS = "am AS (SELECT line_id, t, arg_max(c, (v, -c)) AS i, 1.0 / sum(exp(v - m)) AS p FROM (SELECT *, max(v) OVER (PARTITION BY line_id, t) AS m FROM logits) GROUP BY line_id, t)"
-_METRICS = with_views("pred", more=f"fm AS (SELECT system, relpath, levenshtein(a, b) AS char_errors, length(a) AS char_total FROM (SELECT p.system, p.relpath, {TQ.folded('t.text', 'strict')} AS a, {TQ.folded('p.text', 'strict')} AS b FROM truth t JOIN pred p ON t.relpath = p.relpath)), sm AS (SELECT system, count(*) AS matched, sum(char_errors) AS char_errors, sum(char_total) AS char_total, sum(char_errors) / sum(char_total)::DOUBLE AS cer FROM fm GROUP BY system)")
+#: DuckDB counts bytes, so in its twins the letters of these tables that take two become control characters that occur nowhere.
+LETTERS = "ÄÇÈÉÊÑÖÜßäçèéêíñóöü"
+
+
+def narrow(x: str) -> str:
+    return f"translate({x}, '{LETTERS}', {' || '.join(f'chr({i})' for i in (*range(1, 9), *range(14, 14 + len(LETTERS) - 8)))})"
+
+
+_METRICS = with_views("pred", more=f"fm AS (SELECT system, relpath, levenshtein({narrow('a')}, {narrow('b')}) AS char_errors, length(a) AS char_total FROM (SELECT p.system, p.relpath, {TQ.folded('t.text', 'strict')} AS a, {TQ.folded('p.text', 'strict')} AS b FROM truth t JOIN pred p ON t.relpath = p.relpath)), sm AS (SELECT system, count(*) AS matched, sum(char_errors) AS char_errors, sum(char_total) AS char_total, sum(char_errors) / sum(char_total)::DOUBLE AS cer FROM fm GROUP BY system)")
 _MISSING = "missing AS (SELECT system, relpath FROM (SELECT s.system, t.relpath FROM (SELECT DISTINCT system FROM pred) s, truth t) w ANTI JOIN pred p USING (system, relpath))"
 _SUFFIX = "lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('jpg', 'jpeg', 'png', 'tiff', 'tif', 'jp2', 'bmp')"
 _XML = """'<?xml version="1.0" encoding="utf-8" standalone="yes"?>' || chr(10) || '<OCRDATASET xmlns="">' || chr(10) || '  <PAGE IMAGENAME="p<' || o_orderkey || '" WIDTH="1000" HEIGHT="1200">' || chr(10) || '    <TEXTBLOCK>' || chr(10) || coalesce(body, '') || '    </TEXTBLOCK>' || chr(10) || '  </PAGE>' || chr(10) || '</OCRDATASET>' || chr(10)"""
@@ -338,6 +362,25 @@ _WORDS = with_views("pred", more=rf"""ws AS (SELECT p.system, p.relpath, list_fi
   sp AS (SELECT system, relpath, len(a) AS n, array_to_string(list_transform(a, lambda w: chr(list_position(k, w)::INT)), '') AS x, array_to_string(list_transform(b, lambda w: chr(list_position(k, w)::INT)), '') AS y FROM (SELECT *, list_distinct(list_concat(a, b)) AS k FROM ws))""") + " SELECT system, relpath, levenshtein(x, y) AS word_errors, n AS word_total, round(CASE WHEN n > 0 THEN levenshtein(x, y) / n::DOUBLE WHEN levenshtein(x, y) > 0 THEN 1.0 ELSE 0.0 END, 9) AS wer FROM sp"
 
 
+def _cube_sql() -> str:
+    forms = ", ".join(f"{{'level': '{n}', 'a': {'t.text' if n == 'none' else TQ.folded('t.text', n)}, 'b': {'p.text' if n == 'none' else TQ.folded('p.text', n)}}}" for n in ("none", "basic", "strict"))
+    sums = ", ".join(f"sum({c}) AS {c}" for c in ("char_errors", "char_total", "word_errors", "word_total"))
+    rate = lambda e, n: f"CASE WHEN {n} > 0 THEN {e} / {n}::DOUBLE ELSE 0.0 END"
+    listed = lambda c: rf"list_filter(string_split_regex({c}, '\s+'), lambda w: w <> '')"
+    more = f"""lv AS (SELECT system, unnest([{forms}], recursive := true) FROM truth t JOIN pred p ON t.relpath = p.relpath),
+      ls AS (SELECT *, {listed('a')} AS la, {listed('b')} AS lb FROM lv),
+      sp AS (SELECT *, array_to_string(list_transform(la, lambda w: chr(list_position(k, w)::INT)), '') AS x, array_to_string(list_transform(lb, lambda w: chr(list_position(k, w)::INT)), '') AS y FROM (SELECT *, list_distinct(list_concat(la, lb)) AS k FROM ls)),
+      fm AS (SELECT level, system, levenshtein({narrow('a')}, {narrow('b')}) AS char_errors, length(a) AS char_total, levenshtein(x, y) AS word_errors, len(la) AS word_total FROM sp),
+      sm AS (SELECT level, system, grouping(system) = 1 AS is_total, count(*) AS matched, {sums} FROM fm GROUP BY GROUPING SETS ((level, system), (level))),
+      {_MISSING},
+      ra AS (SELECT *, (SELECT count(*) FROM missing m WHERE is_total OR m.system = sm.system) AS missing, {rate('char_errors', 'char_total')} AS cer, {rate('word_errors', 'word_total')} AS wer FROM sm)"""
+    delta = lambda c: f"round({c} - max(CASE WHEN system = 'lower' THEN {c} END) OVER (PARTITION BY level), 9) AS delta_{c}"
+    return with_views("pred", more=more) + f" SELECT level, system, is_total, matched, missing, char_errors::BIGINT AS char_errors, char_total::BIGINT AS char_total, word_errors::BIGINT AS word_errors, word_total::BIGINT AS word_total, round(cer, 9) AS cer, round(wer, 9) AS wer, {delta('cer')}, {delta('wer')} FROM ra"
+
+
+_RESTORED = with_views("crops", more=f"twice AS (SELECT * FROM crops UNION ALL SELECT * REPLACE (det_id + 1000 AS det_id) FROM crops WHERE det_id % 3 = 0), placed AS (SELECT *, {_ORDER} AS line_idx FROM twice)") + " SELECT page_id, det_id, min(line_idx) OVER (PARTITION BY page_id, x0, y0, x1, y1) AS place FROM placed"
+
+
 def _rerank_sql() -> str:
     score = lambda t, c: f"(CASE WHEN length({t}) = 0 THEN -1.0 ELSE {c} + 0.30 * len(regexp_extract_all({t}, '[第条]')) / length({t})::DOUBLE - 0.18 * len(regexp_extract_all({t}, '[0-9]')) / length({t})::DOUBLE - 0.18 * len(regexp_extract_all({t}, '[(]')) / length({t})::DOUBLE - 0.04 * greatest(length({t}) - 3, 0) - 0.06 * len(regexp_extract_all({t}, '[(]')) END)"
     (a, ac), (b, bc), (c, cc) = stub_sql(50), stub_sql(100), stub_sql(30)
@@ -389,6 +432,8 @@ SQL = {
     "cer_wer": _METRICS + " SELECT system, matched, char_errors, char_total, round(cer, 9) AS cer FROM sm",
     "systems_ranked": _METRICS + ", " + _MISSING + " SELECT row_number() OVER (ORDER BY sm.cer, sm.system) AS place, sm.system, matched, count(m.relpath) AS missing, round(sm.cer, 9) AS cer FROM sm LEFT JOIN missing m USING (system) GROUP BY sm.system, matched, sm.cer",
     "word_errors": _WORDS,
+    "evaluation_cube": _cube_sql(),
+    "order_restored": _RESTORED,
     "page_totals": with_views("crops") + " SELECT count(DISTINCT page_id) AS pages, count(*) AS lines FROM crops",
     "output_stems": r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 's' || page_id ELSE coalesce(nullif(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', '') || (['.png', '/', '/.x', ''])[(page_id % 4 + 1)::INT], '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1'), ''), 'output') END AS stem FROM pages",
     "out_json": _RECOGNIZED + f", g AS (SELECT page_id, string_agg({_ITEM}, ',' ORDER BY line_idx) AS body FROM done GROUP BY page_id) SELECT o_orderkey AS page_id, '{{\"contents\":[[' || coalesce(body, '') || ']],\"imginfo\":{{\"img_width\":1000,\"img_height\":1200,\"img_path\":\"in/' || o_orderkey || '\",\"img_name\":\"p<' || o_orderkey || '\"}}}}' AS json FROM orders LEFT JOIN g ON o_orderkey = page_id",

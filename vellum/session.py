@@ -47,6 +47,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` worked out once, into a Parquet table in the shared folder that later branches read; a lost executor costs a re-read only."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = remember(f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Intermediate tables of this process that have not been cleared.
+_written: list[str] = []
+
+
+def remember(path: str) -> str:
+    """Notes an intermediate table for ``clear``; returns its path."""
+    _written.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all intermediate tables that this process has made, and says how many. Call it when the results that read them have been written."""
+    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from vellum.session import ship
@@ -40,16 +41,17 @@ def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np
     if kind not in (AVERAGE, PAETH):
         raise ValueError(f"unknown filter {kind}")
     out, up = bytearray(line.tobytes()), above.tobytes()
-    for i in range(len(out)):  # each byte needs the one that was made before it
-        a, b = (out[i - step] if i >= step else 0), up[i]
+    for i in range(step):  # nothing stands to the left
+        out[i] = (out[i] + (up[i] // 2 if kind == AVERAGE else up[i])) & 255
+    for i in range(step, len(out)):  # each byte needs the one that was made before it
+        a, b = out[i - step], up[i]
         if kind == AVERAGE:
             guess = (a + b) // 2
         else:
-            c = up[i - step] if i >= step else 0
-            near = {abs(b - c): a}  # of equal distances the left, then the upper, then the corner one counts
-            near.setdefault(abs(a - c), b)
-            near.setdefault(abs(a + b - 2 * c), c)
-            guess = near[min(near)]
+            c = up[i - step]
+            left, above_ = abs(b - c), abs(a - c)
+            corner = abs(a + b - 2 * c)
+            guess = a if left <= above_ and left <= corner else b if above_ <= corner else c
         out[i] = (out[i] + guess) & 255
     return np.frombuffer(bytes(out), np.uint8)
 
@@ -192,6 +194,14 @@ def page_tiles(spark: SparkSession, path: str, **options: int) -> DataFrame:
     return spark.read.format("page_images").options(path=path, **options).load()
 
 
+def whole_pages(tiles_: DataFrame) -> DataFrame:
+    """(page_id, path, width, height, rgb): the pages of ``page_tiles`` in one row each, for stages that look at a page as a whole. page_id is a hash of the path."""
+    ordered = F.sort_array(F.collect_list(F.struct("top", "rgb")))
+    grouped = tiles_.groupBy("path", "width", "height").agg(ordered.alias("parts"))
+    joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p.rgb))
+    return grouped.select(F.xxhash64("path").alias("page_id"), "path", "width", "height", joined.alias("rgb"))
+
+
 def png(width: int, height: int, rgb: bytes, kind: int = SUB) -> bytes:
     """A PNG of packed RGB rows, all lines filtered by ``kind`` (NONE, SUB or UP)."""
     lines = np.frombuffer(rgb, np.uint8).reshape(height, width * 3)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import ship
+
 #: Extensions of page images, and of evaluation images.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "tiff", "tif", "jp2", "bmp")
 EVALUATION_EXTENSIONS = ("png", "jpg", "jpeg", "ppm")
@@ -44,7 +47,7 @@ def input_union(listed: DataFrame, single: DataFrame) -> DataFrame:
 
 def decode_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, width, height, rgb): Spark's image source gives BGR rows, which are reversed per pixel."""
-    import pandas as pd
+    ship(spark)
 
     @F.pandas_udf("binary")
     def flip(data: pd.Series, channels: pd.Series) -> pd.Series:
