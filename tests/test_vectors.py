@@ -139,6 +139,14 @@ def test_quality_prefers_text(spark):
     assert good > bad
 
 
+def test_rerank_at_exactly_the_margin(spark):
+    """50 equal letters score 0.85 - 1.88 = -1.03, the margin below an empty text, which so does not win."""
+    df = spark.createDataFrame([("b" * 50, 0.85, "", 0.5)], "a string, c double, b string, e double")
+    best = C.rerank(F.array(F.struct(F.col("a").alias("text"), F.col("c").alias("mean_confidence")), F.struct(F.col("b").alias("text"), F.col("e").alias("mean_confidence"))))
+    r = df.select(best.alias("r")).first().r
+    assert r.text == "b" * 50 and round(r.score, 9) == -1.03
+
+
 def test_tensors():
     import numpy as np
 
