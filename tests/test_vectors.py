@@ -147,6 +147,12 @@ def test_rerank_at_exactly_the_margin(spark):
     assert r.text == "b" * 50 and round(r.score, 9) == -1.03
 
 
+def test_runs_of_blanks_can_be_no_long_runs(spark):
+    df = spark.createDataFrame([(" " * 6,), ("a" * 6,), (" a  b",)], "t string")
+    scores = lambda **kw: [round(r.s, 9) for r in df.select(T.quality_score(F.col("t"), F.lit(0.7), **kw).alias("s")).collect()]
+    assert scores() == [0.58, 0.58, 0.7] and scores(blank_runs=False) == [0.7, 0.58, 0.7]
+
+
 def test_tensors():
     import numpy as np
 

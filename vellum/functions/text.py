@@ -208,15 +208,17 @@ def longest_run(c: Column) -> Column:
     return F.aggregate(_characters(c), zero, step, lambda a: a.best)
 
 
-def quality_score(text: Column, confidence: Column) -> Column:
+def quality_score(text: Column, confidence: Column, blank_runs: bool = True) -> Column:
     """Confidence, plus body text, minus digits, symbols, long runs and unmatched brackets; -1 for an empty text.
 
-    Counted penalties are whole hundredths, divided once, so that scores a margin apart compare as such.
+    Counted penalties are whole hundredths, divided once, so that scores a margin apart compare as such. Without ``blank_runs`` a run of
+    white space is no long run.
     """
     n = F.length(text).cast("double")
     japanese, digits = F.regexp_count(text, F.lit(f"[{JAPANESE}]")), F.regexp_count(text, F.lit("[0-9]"))
     symbols = F.regexp_count(text, F.lit(rf"(?U)[^\p{{IsAlphabetic}}\p{{N}}\s{JAPANESE}]"))
-    score = confidence + 0.30 * japanese / n - 0.18 * digits / n - 0.18 * symbols / n - 4 * F.greatest(longest_run(text) - 3, F.lit(0)) / 100.0 - 6 * unmatched_brackets(text) / 100.0
+    runs = text if blank_runs else F.regexp_replace(text, r"(?U)\s+", " ")
+    score = confidence + 0.30 * japanese / n - 0.18 * digits / n - 0.18 * symbols / n - 4 * F.greatest(longest_run(runs) - 3, F.lit(0)) / 100.0 - 6 * unmatched_brackets(text) / 100.0
     return F.when(F.length(text) == 0, -1.0).otherwise(score)
 
 

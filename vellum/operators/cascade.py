@@ -80,12 +80,12 @@ def split_long(found: DataFrame, large: Recognizer, threshold: int | Column = 80
     return found.where(~long).unionByName(made.select(*found.columns))
 
 
-def rerank(candidates: Column, margin: float | Column = 0.03) -> Column:
-    """The best of an ordered array of struct(text, mean_confidence): a later one wins only by more than ``margin``.
+def rerank(candidates: Column, margin: float | Column = 0.03, score: Callable[[Column, Column], Column] = T.quality_score) -> Column:
+    """The best of an ordered array of struct(text, mean_confidence): a later one wins only by more than ``margin`` of ``score``.
 
     Nulls in the array are skipped; the first entry is the base.
     """
-    scored = F.transform(F.filter(candidates, lambda c: c.isNotNull()), lambda c: F.struct(T.quality_score(c.text, c.mean_confidence).alias("score"), c.text.alias("text"), c.mean_confidence.alias("mean_confidence")))
+    scored = F.transform(F.filter(candidates, lambda c: c.isNotNull()), lambda c: F.struct(score(c.text, c.mean_confidence).alias("score"), c.text.alias("text"), c.mean_confidence.alias("mean_confidence")))
     rest = F.slice(scored, F.lit(2), F.greatest(F.size(scored) - 1, F.lit(0)))
     return F.aggregate(rest, F.get(scored, F.lit(0)), lambda best, c: F.when(c.score > best.score + margin, c).otherwise(best))
 
