@@ -153,6 +153,14 @@ def test_runs_of_blanks_can_be_no_long_runs(spark):
     assert scores() == [0.58, 0.58, 0.7] and scores(blank_runs=False) == [0.7, 0.58, 0.7]
 
 
+def test_pages_are_drawn_on_all_cores(spark, sf):
+    """The ids come in one small file; what is made of them does not stay in one task."""
+    from vellum.plans import views as V
+
+    drawn = V.v_packed(spark, sf)
+    assert drawn.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_tensors():
     import numpy as np
 
