@@ -161,6 +161,26 @@ def test_pages_are_drawn_on_all_cores(spark, sf):
     assert drawn.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
 
 
+def test_lines_are_cut_in_one_walk(spark, tmp_path):
+    """Pieces of 40 and 14 characters; a line of 700,000 characters costs a walk over it, not one for each piece."""
+    import time
+
+    from vellum.plans import views as V
+
+    long = "".join(chr(97 + k % 26) for k in range(700_000))
+    texts = [None, "", "a", "a" * 40, "a" * 41, "a" * 39 + "1b", "x" * 80 + "\n\n" + "é" * 41, "ab😀" * 30, "a\r b" * 20, long]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(i, n, x) for i, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n"))]
+    letter = lambda x: x.isascii() and x.isalpha()
+    cuts = lambda x, size: [x[k : k + size] for k in range(0, len(x), size)] or [""]
+    wrapped = {(i, n * 100000 + k, p + ("-" if k * 40 + 40 < len(x) and letter(x[k * 40 + 39]) and letter(x[k * 40 + 40]) else "")) for i, n, x in lines for k, p in enumerate(cuts(x, 40))}
+    cjk = {(i, n * 100000 + k, p.translate(str.maketrans(V.CJK_FROM, V.CJK_TO))) for i, n, x in lines for k, p in enumerate(cuts(x, 14))}
+    begun = time.time()
+    assert {tuple(r) for r in V.v_wrapped(spark, str(tmp_path)).collect()} == wrapped
+    assert {tuple(r) for r in V.v_cjk(spark, str(tmp_path)).collect()} == cjk
+    assert time.time() - begun < 30
+
+
 def test_tensors():
     import numpy as np
 
