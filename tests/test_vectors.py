@@ -181,6 +181,39 @@ def test_lines_are_cut_in_one_walk(spark, tmp_path):
     assert time.time() - begun < 30
 
 
+def test_runs_and_brackets_against_plain_code(spark):
+    rows = ["", "a", "abc", "aaab", "))((", "(a)b)）「」」（", "7777777 !!!!", "  \n\n\n\n\n x", "😀😀😀😀😀(😀", None]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", T.longest_run(F.col("t")).alias("run"), T.excess_run(F.col("t"), 3).alias("over"), T.unmatched_brackets(F.col("t")).alias("bad")).collect()
+
+    def plain(t):
+        best, stack, bad, pairs = 1, [], 0, {c: o for o, c in T.BRACKETS}
+        for i, x in enumerate(t):
+            n = next((k for k in range(1, i + 1) if t[i - k] != x), i + 1)
+            best = max(best, n)
+            if x in pairs.values():
+                stack.append(x)
+            elif x in pairs and stack and stack[-1] == pairs[x]:
+                stack.pop()
+            elif x in pairs:
+                bad += 1
+        return best, max(best - 3, 0), bad + len(stack)
+
+    for r in got:
+        assert (r.run, r.over, r.bad) == ((1, 0, 0) if r.t is None else plain(r.t)), r
+
+
+def test_chunks_of_every_length_longest_first(spark):
+    import random
+    import re
+
+    draw = random.Random(3)
+    rows = ["".join(draw.choice("ab" if k % 2 else "a😀é") for _ in range(draw.randrange(60))) for k in range(400)] + ["ab" * 7, "x" * 31, "abcdefghij" * 5, "😀é" * 5]
+    pattern = re.compile("(?s)" + "|".join(rf"(.{{{n}}})\{i}{{2,}}" for i, n in enumerate(range(10, 1, -1), 1)))
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", T.collapse_chunks(F.col("t")).alias("s")).collect()
+    for r in got:
+        assert r.s == pattern.sub(lambda m: 2 * m[m.lastindex], r.t), r.t
+
+
 def test_tensors():
     import numpy as np
 

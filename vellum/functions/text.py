@@ -55,8 +55,7 @@ def limit_runs(c: Column) -> Column:
 
 def collapse_chunks(c: Column) -> Column:
     """A chunk of 10 down to 2 characters that stands three times or more in a row stays twice; longer chunks are tried first."""
-    pattern = "|".join(rf"(.{{{n}}})\{i}{{2,}}" for i, n in enumerate(range(10, 1, -1), 1))
-    return F.regexp_replace(c, f"(?s){pattern}", "".join(f"${i}${i}" for i in range(1, 10)))
+    return F.regexp_replace(c, r"(?s)(.{2,10})\1{2,}", "$1$1")  # greedy, so each place tries ten characters first
 
 
 def collapse_phrases(c: Column) -> Column:
@@ -99,7 +98,9 @@ def _matched(characters: Column) -> Column:
 def unmatched_brackets(c: Column) -> Column:
     """Closers without their opener on top of the stack, plus openers left open."""
     zero = F.struct(F.lit("").alias("stack"), F.lit(0).alias("out"))
-    return F.aggregate(_characters(c), zero, lambda a, x: _bracket_step(a, x, lambda acc, ch, bad: acc.out + bad.cast("int")), lambda a: a.out + F.length(a.stack))
+    others = "[^" + "".join(re.escape(x) for pair in BRACKETS for x in pair) + "]+"
+    step = lambda a, x: _bracket_step(a, x, lambda acc, ch, bad: acc.out + bad.cast("int"))
+    return bound(F.regexp_replace(c, others, ""), lambda b: F.aggregate(_characters(b), zero, step, lambda a: a.out + F.length(a.stack)))
 
 
 def replace_all(c: Column, pairs) -> Column:
@@ -199,13 +200,13 @@ def escape_xml(c: Column, quotes: bool = True) -> Column:
 
 def longest_run(c: Column) -> Column:
     """Length of the longest run of one character, 1 at least."""
-    zero = F.struct(F.lit("").alias("prev"), F.lit(0).alias("run"), F.lit(1).alias("best"))
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(c, F.lit(r"(?s)(.)\1*"), F.lit(0)), F.length)), F.lit(1))
 
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(a.prev == x, a.run + 1).otherwise(1)
-        return F.struct(x.alias("prev"), run.alias("run"), F.greatest(a.best, run).alias("best"))
 
-    return F.aggregate(_characters(c), zero, step, lambda a: a.best)
+def excess_run(c: Column, most: int) -> Column:
+    """By how much the longest run of one character is longer than ``most``; only runs that are longer become values."""
+    long = F.regexp_extract_all(c, F.lit(rf"(?s)(.)\1{{{most},}}"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(long, F.length)) - most, F.lit(0))
 
 
 def quality_score(text: Column, confidence: Column, blank_runs: bool = True) -> Column:
@@ -218,7 +219,7 @@ def quality_score(text: Column, confidence: Column, blank_runs: bool = True) ->
     japanese, digits = F.regexp_count(text, F.lit(f"[{JAPANESE}]")), F.regexp_count(text, F.lit("[0-9]"))
     symbols = F.regexp_count(text, F.lit(rf"(?U)[^\p{{IsAlphabetic}}\p{{N}}\s{JAPANESE}]"))
     runs = text if blank_runs else F.regexp_replace(text, r"(?U)\s+", " ")
-    score = confidence + 0.30 * japanese / n - 0.18 * digits / n - 0.18 * symbols / n - 4 * F.greatest(longest_run(runs) - 3, F.lit(0)) / 100.0 - 6 * unmatched_brackets(text) / 100.0
+    score = confidence + 0.30 * japanese / n - 0.18 * digits / n - 0.18 * symbols / n - 4 * excess_run(runs, 3) / 100.0 - 6 * unmatched_brackets(text) / 100.0
     return F.when(F.length(text) == 0, -1.0).otherwise(score)
 
 
