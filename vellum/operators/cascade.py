@@ -86,8 +86,9 @@ def rerank(candidates: Column, margin: float | Column = 0.03, score: Callable[[C
     Nulls in the array are skipped; the first entry is the base.
     """
     scored = F.transform(F.filter(candidates, lambda c: c.isNotNull()), lambda c: F.struct(score(c.text, c.mean_confidence).alias("score"), c.text.alias("text"), c.mean_confidence.alias("mean_confidence")))
-    rest = F.slice(scored, F.lit(2), F.greatest(F.size(scored) - 1, F.lit(0)))
-    return F.aggregate(rest, F.get(scored, F.lit(0)), lambda best, c: F.when(c.score > best.score + margin, c).otherwise(best))
+    rest = lambda s: F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0)))
+    best = lambda s: F.aggregate(rest(s), F.get(s, F.lit(0)), lambda best, c: F.when(c.score > best.score + margin, c).otherwise(best))
+    return T.bound(scored, best)  # each entry is scored once
 
 
 def candidates(found: DataFrame, small: Recognizer | None, middle: Recognizer | None, large: Recognizer, first: int | Column = 25, second: int | Column = 45, threshold: int | Column = 80) -> DataFrame:
