@@ -153,34 +153,6 @@ def test_runs_of_blanks_can_be_no_long_runs(spark):
     assert scores() == [0.58, 0.58, 0.7] and scores(blank_runs=False) == [0.7, 0.58, 0.7]
 
 
-def test_pages_are_drawn_on_all_cores(spark, sf):
-    """The ids come in one small file; what is made of them does not stay in one task."""
-    from vellum.plans import views as V
-
-    drawn = V.v_packed(spark, sf)
-    assert drawn.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
-
-
-def test_lines_are_cut_in_one_walk(spark, tmp_path):
-    """Pieces of 40 and 14 characters; a line of 700,000 characters costs a walk over it, not one for each piece."""
-    import time
-
-    from vellum.plans import views as V
-
-    long = "".join(chr(97 + k % 26) for k in range(700_000))
-    texts = [None, "", "a", "a" * 40, "a" * 41, "a" * 39 + "1b", "x" * 80 + "\n\n" + "é" * 41, "ab😀" * 30, "a\r b" * 20, long]
-    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    lines = [(i, n, x) for i, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n"))]
-    letter = lambda x: x.isascii() and x.isalpha()
-    cuts = lambda x, size: [x[k : k + size] for k in range(0, len(x), size)] or [""]
-    wrapped = {(i, n * 100000 + k, p + ("-" if k * 40 + 40 < len(x) and letter(x[k * 40 + 39]) and letter(x[k * 40 + 40]) else "")) for i, n, x in lines for k, p in enumerate(cuts(x, 40))}
-    cjk = {(i, n * 100000 + k, p.translate(str.maketrans(V.CJK_FROM, V.CJK_TO))) for i, n, x in lines for k, p in enumerate(cuts(x, 14))}
-    begun = time.time()
-    assert {tuple(r) for r in V.v_wrapped(spark, str(tmp_path)).collect()} == wrapped
-    assert {tuple(r) for r in V.v_cjk(spark, str(tmp_path)).collect()} == cjk
-    assert time.time() - begun < 30
-
-
 def test_runs_and_brackets_against_plain_code(spark):
     rows = ["", "a", "abc", "aaab", "))((", "(a)b)）「」」（", "7777777 !!!!", "  \n\n\n\n\n x", "😀😀😀😀😀(😀", None]
     got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", T.longest_run(F.col("t")).alias("run"), T.excess_run(F.col("t"), 3).alias("over"), T.unmatched_brackets(F.col("t")).alias("bad")).collect()
@@ -214,6 +186,44 @@ def test_chunks_of_every_length_longest_first(spark):
         assert r.s == pattern.sub(lambda m: 2 * m[m.lastindex], r.t), r.t
 
 
+def test_lines_are_cut_in_one_walk(spark, tmp_path):
+    """Pieces of 40 and 14 characters; a line of 700,000 characters costs a walk over it, not one for each piece."""
+    import time
+
+    from vellum.plans import views as V
+
+    long = "".join(chr(97 + k % 26) for k in range(700_000))
+    texts = [None, "", "a", "a" * 40, "a" * 41, "a" * 39 + "1b", "x" * 80 + "\n\n" + "é" * 41, "ab😀" * 30, "a\r b" * 20, long]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(i, n, x) for i, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n"))]
+    letter = lambda x: x.isascii() and x.isalpha()
+    cuts = lambda x, size: [x[k : k + size] for k in range(0, len(x), size)] or [""]
+    wrapped = {(i, n * 100000 + k, p + ("-" if k * 40 + 40 < len(x) and letter(x[k * 40 + 39]) and letter(x[k * 40 + 40]) else "")) for i, n, x in lines for k, p in enumerate(cuts(x, 40))}
+    cjk = {(i, n * 100000 + k, p.translate(str.maketrans(V.CJK_FROM, V.CJK_TO))) for i, n, x in lines for k, p in enumerate(cuts(x, 14))}
+    begun = time.time()
+    assert {tuple(r) for r in V.v_wrapped(spark, str(tmp_path)).collect()} == wrapped
+    assert {tuple(r) for r in V.v_cjk(spark, str(tmp_path)).collect()} == cjk
+    assert time.time() - begun < 30
+
+
+def test_pages_are_drawn_on_all_cores(spark, sf):
+    """The ids come in one small file; what is made of them does not stay in one task."""
+    from vellum.plans import views as V
+
+    drawn = V.v_packed(spark, sf)
+    assert drawn.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_bands_are_made_for_pages_without_lines_only(spark):
+    pages = spark.createDataFrame([(k, 100, 100) for k in range(6)], "page_id bigint, width int, height int")
+    found = L.mock_detections(pages.where("page_id < 4"), F.lit(2), F.lit(0.5))
+    asked = []
+    out = L.with_fallback(found, pages, lambda p: asked.append(p) or L.mock_detections(p, F.lit(3), F.lit(1.0)).select(found.columns))
+    assert sorted(r.page_id for r in asked[0].collect()) == [4, 5]
+    whole = L.with_fallback(found, pages, L.mock_detections(pages, F.lit(3), F.lit(1.0)).select(found.columns))
+    assert sorted(map(str, out.collect())) == sorted(map(str, whole.collect())) and out.count() == 14
+
+
 def test_tensors():
     import numpy as np
 

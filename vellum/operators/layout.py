@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,11 +102,13 @@ def mock_detections(pages: DataFrame, count: Column, confidence: Column) -> Data
     return df.select("page_id", "det_id", F.lit("line_main").alias("class_name"), G.normalized_confidence(confidence).alias("confidence"), *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1")], y1.cast("int").alias("y1"), F.lit(100.0).alias("char_count"))
 
 
-def with_fallback(detections: DataFrame, pages: DataFrame, bands: DataFrame) -> DataFrame:
-    """Line detections, and bands for the pages that have none. ``bands`` has the columns of ``detections``."""
+def with_fallback(detections: DataFrame, pages: DataFrame, bands: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Line detections, and bands for the pages that have none. ``bands`` has the columns of ``detections``; or it makes them from the
+    rows of ``pages`` that have no line, so that no band is made, shuffled or sorted only to be dropped."""
     lines = lines_only(detections)
-    without = pages.join(lines, "page_id", "left_anti").select("page_id")
-    return lines.unionByName(bands.join(without, "page_id", "left_semi"))
+    without = pages.join(lines, "page_id", "left_anti")
+    made = bands(without) if callable(bands) else bands.join(without.select("page_id"), "page_id", "left_semi")
+    return lines.unionByName(made)
 
 
 def bands_as_detections(bands: DataFrame, *keep: str, first: int | Column = 25, second: int | Column = 45) -> DataFrame:
