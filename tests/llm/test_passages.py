@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import random
-from itertools import permutations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +161,32 @@ def test_near_passages_against_all_pairs(spark):
     assert len(alike) > 150 and len(alike & found) >= 0.9 * len(alike)
 
 
+def test_similar_passages_behind_unlike_ones_are_of_one_class(spark):
+    """Two texts share a similar passage of which the two least texts hold edited forms that are like nothing; and one line of 44 words stands in many texts, of
+    which two have more in common. Every pair that is similar by brute force is of one class, and no other."""
+    draw, rows = random.Random(31), []
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    for _ in range(40):
+        shared = text(60)
+        forms = [list(shared) for _ in range(3)]
+        for form, places in zip(forms, ((14, 44), (15, 43), (29,)), strict=True):
+            for at in places:
+                form[at] = word()
+        rows += [text(20) + forms[0] + text(20), text(20) + forms[1] + text(9), text(7) + shared + text(30), text(11) + forms[2] + text(30)]
+    line, tail = text(40), text(20)
+    rows += [text(30) + line + text(30) for _ in range(2 * P.FEW)]
+    rows += [text(30) + line + tail[:6] + [word()] + tail[7:] + text(30) for _ in range(2)]
+    texts = [" ".join(t) for t in rows]
+    codes, sizes = P.shingle_codes(pa.array([t.encode() for t in texts], pa.binary()), P.SHINGLE)
+    parts = np.split(codes.astype(np.uint32), np.cumsum(sizes)[:-1])
+    wanted = {(i, j) for i, j in combinations(range(len(parts)), 2) if P.common_stretches(parts[i], parts[j]) or P.common_stretches(parts[j], parts[i])}
+    found = P.passage_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)).collect()
+    classes = {r.doc_id: r.class_id for r in found}
+    assert len(wanted) > 40 and all(classes.get(i, i) == classes.get(j, j) for i, j in wanted)
+    assert {(r.other_id, r.doc_id) for r in found} <= wanted
+
+
 def test_a_run_that_fails_as_a_whole_is_split():
     draw = np.random.default_rng(3)
     fresh = lambda n: draw.integers(1, 1 << 32, n).astype(np.uint32)

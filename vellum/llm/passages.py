@@ -5,15 +5,20 @@ tree over the values, a node's subtree is a compact window: the largest stretch
 subsequences within it that hold the node share one min-hash. Only windows of at least ``LEAST`` shingles matter; their
 nodes are the minima of some stretch of that length, which two sliding minima find, and the tree over those nodes alone
 has the same extents. Windows of two texts with equal (function, minimum) that overlap enough once laid over each other
-are an interval join; texts that agree by enough functions become candidate passages, which are verified by the Jaccard
-similarity of their shingles.
+are an interval join; texts whose windows agree become candidate passages, which are verified by the Jaccard
+similarity of their shingles. A passage of SIMILARITY or more has SEED shingles in a row from the other text, so one function
+over windows of SEED shingles gives both texts one value.
 
 Windows of one (function, minimum) are joined to their least member, found by aggregation: G copies of a passage cost G
 rows, whether the passage is a paragraph or the whole text. The least member may hold a part or an edited form only. So
 windows whose node is in no passage that both have word for word are joined once more, to the least of those that are
 left. Then equal passages are sought exactly: every stretch of LEAST shingles that lies whole in no passage found so far, word for word, is hashed and
 joined to the least text that has it. A text with a stretch is so linked to an earlier one that has it, or was before, in any order of
-ids, and no group is ever compared pairwise.
+ids.
+
+What these links do not join in one class is compared last, whichever texts they are: windows of one value in texts of different classes. In
+a value with many of these, as a common line has, two windows meet only if they share one of the shingles around them that are
+rarest in that value, of which no similar passage can do without all. So every link joins two texts of one class.
 """
 
 from __future__ import annotations
@@ -26,20 +31,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import cut, release, ship, sized, stored
+from vellum.llm.graph import components
 from vellum.llm.wordhash import mix, power_tables, shingle_codes, slices
 
 SHINGLE = 5
 #: Shingles of a passage of 51 words; windows and passages have at least as many.
 LEAST = 47
-#: At similarity 0.8 at least one of three functions agrees in 99.2 % of cases, at 0.9 in 99.9 %; each agreement is verified.
-HASHES = 3
-AGREE = 1
+#: Shingles that a passage of SIMILARITY shares with the other in a row, at least, if no shingle repeats: a change of a word costs five
+#: shingles on both sides and an inserted one four and five, so m changes need 36 * m shingles or more, and leave m + 1 runs.
+SEED = 21
+HASHES = 1
 #: Share of the shingles of LEAST in a row that must occur in the other text before their similarity is looked at; two sets
 #: with similarity 0.8 have at least this share of each other.
 DENSITY = 0.8
 SIMILARITY = 0.8
 #: Positions of a text whose passages are looked at together.
 CELL = 4096
+#: Shingles on both sides of a node within which the shortest similar passages that hold it lie.
+AROUND = 2 * LEAST
+#: Texts of one key that are compared with each other as they are.
+FEW = 16
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -81,7 +92,7 @@ def compact_windows(values: np.ndarray, ends: np.ndarray, least: int = LEAST) ->
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """(value, id, node, first, last) of every compact window; value is a minimum whose low bits name the function."""
+    """(value, id, node, first, last) of every compact window of SEED shingles or more; value is a minimum whose low bits name the function."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +109,7 @@ def windows(texts: DataFrame) -> DataFrame:
                 for k in range(HASHES):
                     values = mix(flat ^ _ODD[k]) | np.uint64(8)  # never zero
                     values[ends] = 0
-                    found = compact_windows(values, ends)
+                    found = compact_windows(values, ends, SEED)
                     places = np.concatenate([[0], ends[:-1] + 1])[found[:, 0]] + found[:, 1]
                     named = (values[places] & ~np.uint64(7)) | np.uint64(k)
                     ids = batch.column(0).take(pa.array(used[found[:, 0]]))
@@ -125,19 +136,18 @@ def candidates(both: DataFrame) -> DataFrame:
     """(id, other, a, z, oa, oz): pairs of a text and an earlier one, with the stretches of shingles that hold all they may share.
 
     The interval join: a window and the one of an earlier text beside it, laid over each other at their nodes, must overlap in
-    LEAST shingles. Overlaps of one pair are gathered into one stretch in each text.
+    SEED shingles. Overlaps of one pair are gathered into one stretch in each text, with what a passage may have beyond.
     """
     both = both.where(F.col("id") > F.col("r.id"))
     before, after = F.least(F.col("node") - F.col("first"), F.col("r.node") - F.col("r.first")), F.least(F.col("last") - F.col("node"), F.col("r.last") - F.col("r.node"))
-    laid = both.select("id", F.col("r.id").alias("other"), "node", F.col("r.node").alias("other_node"), before.alias("before"), after.alias("after"), F.col("value").bitwiseAND(F.lit(7)).alias("fn"))
-    gathered = laid.where(F.col("before") + F.col("after") + 1 >= LEAST).groupBy("id", "other").agg(
-        F.min(F.col("node") - F.col("before")).alias("a"),
-        F.max(F.col("node") + F.col("after")).alias("z"),
-        F.min(F.col("other_node") - F.col("before")).alias("oa"),
-        F.max(F.col("other_node") + F.col("after")).alias("oz"),
-        F.bit_or(F.expr("shiftleft(1, cast(fn as int))")).alias("fns"),
+    laid = both.select("id", F.col("r.id").alias("other"), "node", F.col("r.node").alias("other_node"), before.alias("before"), after.alias("after"))
+    least, most = lambda c: F.greatest(F.min(c) - AROUND, F.lit(0)), lambda c: F.max(c) + AROUND
+    return laid.where(F.col("before") + F.col("after") + 1 >= SEED).groupBy("id", "other").agg(
+        least(F.col("node") - F.col("before")).alias("a"),
+        most(F.col("node") + F.col("after")).alias("z"),
+        least(F.col("other_node") - F.col("before")).alias("oa"),
+        most(F.col("other_node") + F.col("after")).alias("oz"),
     )
-    return gathered.where(F.bit_count("fns") >= AGREE).drop("fns")
 
 
 def named_columns(found: DataFrame, id_col: str) -> DataFrame:
@@ -319,6 +329,126 @@ def equal_stretches(keyed: DataFrame) -> DataFrame:
     return found.select("id", "other", "start", words.cast("int").alias("n_words"), (F.col("start") - F.col("shift")).cast("int").alias("other_start"), F.lit(1.0).alias("similarity"))
 
 
+def with_classes(df: DataFrame, classes: DataFrame) -> DataFrame:
+    """``df`` with ``root``, the class of its id; a text without a link is a class of its own."""
+    return df.join(classes.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+#: Columns of a window that is compared across classes.
+SEEN = ("key", "id", "root", "node", "first", "last")
+
+
+def contexts(mixed: DataFrame, coded: DataFrame) -> DataFrame:
+    """SEEN of the windows ``mixed`` (id, root, node, first, last): ``key`` is a hash of the node and the shingles on one side of it, of which a shared run of
+    SEED has one side whole. Only keys of several classes; of windows of a class that are alike within AROUND the least only."""
+    kind, half = mixed.schema["id"].dataType.simpleString(), SEED // 2
+    per_text = mixed.groupBy("id", "root").agg(F.collect_set(F.struct("node", "first", "last")).alias("nodes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes = mix(np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32).astype(np.uint64) + np.uint64(1))
+                n, (power, inverse) = len(codes), power_tables(len(codes) + 1)
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * power[:n])])
+                hashed = lambda a, z: mix((sums[z] - sums[a]) * inverse[a])  # noqa: E731, B023
+                node, first, last = (np.asarray(batch.column(3)[i].values.field(c)).astype(np.int64) for c in range(3))
+                for side in (0, 1):
+                    low, high = (node - half, node + 1) if side == 0 else (node, node + half + 1)
+                    kept = (low >= 0) & (high <= n) & (last < n)  # an id may have several texts
+                    if not kept.any():
+                        continue
+                    keys = mix(hashed(low[kept], high[kept]) + np.uint64(side))
+                    at = node[kept]
+                    a, z = np.maximum(at - AROUND, 0), np.minimum(at + AROUND + 1, n)
+                    same = mix(hashed(a, z) ^ ((at - a) * 1000 + z - at).astype(np.uint64))  # the node's place among them counts
+                    ids = [pa.array([batch.column(c)[i].as_py()] * len(at), batch.schema.field(c).type) for c in (0, 1)]
+                    cells = [pa.array(c[kept].astype(np.int32)) for c in (node, first, last)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *ids, *cells, pa.array(same.view(np.int64))], [*SEEN, "same"])
+
+    rows = coded.join(per_text, "id").select("id", "root", "codes", "nodes").mapInArrow(run, f"key bigint, id {kind}, root {kind}, node int, first int, last int, same bigint")
+    rows = cut(rows.groupBy("key", "root", "same").agg(F.min(F.struct(*WINDOW)).alias("w")).select("key", "root", "w.*"))
+    return rows.join(cut(_of_several(rows, "key").select("key")), "key").select(*SEEN)
+
+
+def _of_several(rows: DataFrame, *by: str) -> DataFrame:
+    """The groups of ``rows`` with texts of several classes, and their numbers ``n`` of rows."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("one"), F.max("root").alias("two")).where("one < two").drop("one", "two")
+
+
+#: For passages of up to so many shingles, looked at by stretches of the first number: how many of these the other text may lack, at most. A passage of n
+#: shingles shares at least 0.8 * n, and, since the other has at least LEAST, SIMILARITY / (1 + SIMILARITY) * (n + LEAST).
+_LENGTHS = (47, 49, 51, 54, 58, 64, 72, 80, 88, 95)
+LACKED = [(n, m - 1 - int(np.ceil(max(SIMILARITY * (m - 1), SIMILARITY / (1 + SIMILARITY) * (m - 1 + LEAST)) - 1e-9))) for n, m in zip(_LENGTHS, _LENGTHS[1:], strict=False)]
+
+
+def rarest(places: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which of the shingles ``codes`` at ``places`` of a text a similar passage cannot all do without: of each stretch of a length in LACKED
+    the rarest, one more than the other text may lack. ``counts`` says how many texts of the key have each; all others have no use."""
+    out, order = np.zeros(len(places), bool), np.argsort(places)
+    by_rarity = np.empty(len(places), np.int64)
+    by_rarity[np.lexsort((codes, counts))] = np.arange(len(places))
+    for part in np.split(order, np.flatnonzero(np.diff(places[order]) > LEAST) + 1):  # parts so far from each other that no stretch needs both
+        at = places[part] - places[part[0]] + LACKED[-1][0]
+        rank = np.full(at[-1] + LACKED[-1][0] + 1, -1)
+        rank[at] = by_rarity[part]
+        lone, chosen = np.concatenate([[0], np.cumsum(rank < 0)]), np.zeros(len(rank), bool)
+        for n, lacked in LACKED:
+            starts = np.flatnonzero(lone[n:] - lone[:-n] <= lacked)
+            for some in np.array_split(starts, -(-len(starts) // CELL)) if len(starts) else ():
+                stretch = np.lib.stride_tricks.sliding_window_view(rank, n)[some]
+                chosen[(np.argpartition(stretch, lacked, axis=1)[:, : lacked + 1] + some[:, None]).ravel()] = True
+        out[part] = chosen[at]
+    return out
+
+
+def meetings(seen: DataFrame, coded: DataFrame) -> DataFrame:
+    """(id, other, a, z, oa, oz) as of ``candidates``: pairs of texts of one key in ``seen`` and of different classes.
+
+    In a key of at most FEW texts all meet; in others those that share a shingle that is among the rarest around both.
+    """
+    kind = seen.schema["id"].dataType.simpleString()
+    texts = cut(seen.groupBy("key", "id", "root").agg(F.greatest(F.min("node") - AROUND, F.lit(0)).alias("a"), (F.max("node") + AROUND).alias("z")))
+    per_key = cut(_of_several(texts, "key"))
+    large = cut(per_key.where(F.col("n") > FEW).select("key"))
+    few = texts.join(per_key.where(F.col("n") <= FEW).select("key"), "key").select("key", F.lit(-1).cast("bigint").alias("code"), "id", "root", "a", "z")
+    per_text = seen.join(large, "key").groupBy("id", "root").agg(F.collect_list(F.struct("key", "node")).alias("nodes"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes, cells = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32), batch.column(3)[i].values
+                keys, nodes = (np.asarray(cells.field(c)) for c in (0, 1))
+                for key in np.unique(keys).tolist():
+                    near, edges = nodes[keys == key], np.zeros(len(codes) + 1, np.int64)
+                    near = near[near < len(codes)]
+                    np.add.at(edges, np.maximum(near - AROUND, 0), 1)
+                    np.add.at(edges, np.minimum(near + AROUND + 1, len(codes)), -1)
+                    at = np.flatnonzero(np.cumsum(edges)[:-1])  # each place once, however many nodes are near
+                    many = [pa.array([v] * len(at), t) for v, t in ((key, pa.int64()), *((batch.column(c)[i].as_py(), batch.schema.field(c).type) for c in (0, 1)))]
+                    yield pa.RecordBatch.from_arrays([*many, pa.array(at.astype(np.int32)), pa.array(codes[at].astype(np.int64))], ["key", "id", "root", "place", "code"])
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, codes_out = [], []
+            for i in range(batch.num_rows):
+                places, codes, counts = (np.asarray(batch.column(3)[i].values.field(c)).astype(np.int64) for c in range(3))
+                kept = np.unique(codes[rarest(places, codes, counts)])
+                rows += [i] * len(kept)
+                codes_out += kept.tolist()
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), pa.array(codes_out, pa.int64()), *(batch.column(c).take(taken) for c in (1, 2))], ["key", "code", "id", "root"])
+
+    around = stored(coded.join(per_text, "id").select("id", "root", "codes", "nodes").mapInArrow(spread, f"key bigint, id {kind}, root {kind}, place int, code bigint"), "around")
+    counts = cut(_of_several(around.select("key", "code", "id", "root").distinct(), "key", "code"))
+    # a passage of LEAST has at most so many shingles that no other class has
+    held = around.join(counts, ["key", "code"]).groupBy("key", "id", "root").agg(F.collect_list(F.struct("place", "code", "n")).alias("held")).where(F.size("held") >= LEAST - LACKED[0][1])
+    keys = cut(held.mapInArrow(chosen, f"key bigint, code bigint, id {kind}, root {kind}"))
+    rows = cut(few.unionByName(keys.join(cut(_of_several(keys, "key", "code").drop("n")), ["key", "code"]).join(texts, ["key", "id", "root"])))
+    other = rows.select("key", "code", F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("a").alias("oa"), F.col("z").alias("oz"))
+    met = rows.join(other, ["key", "code"]).where("root <> other_root and id > other")
+    return met.groupBy("id", "other").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.min("oa").alias("oa"), F.max("oz").alias("oz"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, n_words, other_id, other_start, similarity): passages of over 50 words that an earlier text has as well,
     at a shingle similarity of 0.8 or more.
@@ -390,4 +520,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         others = members.where(fn != 0).join(sized(cut(first.select("id").distinct())), "id", "left_semi").select("id", fn.alias("fn"), "node", "first", "last", never.alias("since"))
         keyed = stored(stretches(first.unionByName(others), coded), "stretches")
         out = out.unionByName(equal_stretches(keyed))
+    out = cut(out.distinct())
+    roots = components(out.select(F.col("id").alias("u"), F.col("other").alias("v")))
+    mixed = with_classes(members.select("value", *WINDOW), roots)
+    seen = cut(contexts(mixed.join(cut(_of_several(mixed, "value").select("value")), "value").drop("value"), coded))
+    release(docs.sparkSession)
+    out = out.unionByName(verified(meetings(seen, coded)).where("whole").drop("whole"))
     return named_columns(out, id_col)
+
+
+def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``repeated_passages`` with ``class_id``, the least text that can be reached over passages: any two texts with a passage of over 50 words in common at
+    SIMILARITY or more are of one class, whether a row links them or rows to others do."""
+    found = cut(repeated_passages(docs, id_col, text_col))
+    roots = components(found.select(F.col(id_col).alias("u"), F.col("other_id").alias("v"))).select(F.col("node").alias(id_col), F.col("root").alias("class_id"))
+    return found.join(sized(roots), id_col)
