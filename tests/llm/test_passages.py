@@ -197,3 +197,38 @@ def test_a_run_that_fails_as_a_whole_is_split():
     near = fresh(120)
     long, other = np.concatenate([near, fresh(9), shared[0]]), np.concatenate([near, fresh(40), shared[0]])
     assert [(h[0], h[1] >= 119) for h in P.common_stretches(long, other)][0] == (0, True)
+
+
+def periodic(draw, n):
+    """Texts of codes as lists of words that repeat give: stretches of one to six codes over and over, of the same few for all."""
+    loops = [draw.integers(1, 9, draw.integers(1, 7)).astype(np.uint32) for _ in range(n)]
+    return np.concatenate([np.tile(loop, 300)[: draw.integers(20, 220)] for loop in loops])
+
+
+def test_repeating_codes_are_split_no_further_than_a_passage_can_be(monkeypatch):
+    """What is not looked at gives no passage; codes that repeat in one text and not in the other were looked at thousands of times."""
+    draw = np.random.default_rng(8)
+    ranks = draw.integers(0, 30, 400)
+    assert P.distinct_counts(ranks).tolist() == [len(set(ranks[i : i + P.LEAST].tolist())) for i in range(400 - P.LEAST + 1)]
+    pairs = [(periodic(draw, 5), periodic(draw, 3)) for _ in range(60)]
+    looks, similar = [], P._similar
+    monkeypatch.setattr(P, "_similar", lambda *a: looks.append(1) or similar(*a))
+    x = np.concatenate([np.tile(np.array([k, k + 1], np.uint32), 60) for k in range(0, 20, 2)])
+    y = np.concatenate([np.array([k, k + 1] * 4 + list(range(100 + 10 * k, 112 + 10 * k)), np.uint32) for k in range(0, 20, 2)])
+    assert P.common_stretches(x, y) == [] and len(looks) < 10
+    found = [P.common_stretches(*pair) for pair in pairs]
+    monkeypatch.setattr(P._Sets, "possible", lambda *a: True)
+    assert found == [P.common_stretches(*pair) for pair in pairs] and sum(map(len, found)) > 20
+
+
+def test_a_text_with_many_keys_is_looked_at_once(spark, monkeypatch):
+    """Texts with a common line of 44 words meet in several values of the line; their shingles are counted once for each text, not for each value."""
+    draw = random.Random(32)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    line = text(44)
+    docs = spark.createDataFrame([(i, " ".join(text(30) + line + text(30))) for i in range(3 * P.FEW)], "doc_id bigint, text string")
+    made, stored = {}, P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name: made.setdefault(name, stored(df, name)))
+    assert P.passage_classes(docs).count() == 0
+    assert 0 < made["around"].count() <= 3 * P.FEW * (44 + 60 - 4)

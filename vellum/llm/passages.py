@@ -49,6 +49,8 @@ SIMILARITY = 0.8
 CELL = 4096
 #: Shingles on both sides of a node within which the shortest similar passages that hold it lie.
 AROUND = 2 * LEAST
+#: Bytes of codes that are hashed in one go.
+TOGETHER = 1 << 20
 #: Texts of one key that are compared with each other as they are.
 FEW = 16
 
@@ -121,15 +123,16 @@ def windows(texts: DataFrame) -> DataFrame:
 WINDOW = ("id", "node", "first", "last")
 
 
-def shared_windows(found: DataFrame) -> DataFrame:
-    """The windows of ``found`` whose value two texts have, with ``low``, the least of these texts, and whether there are ``more`` than two windows; computed once."""
-    several = cut(found.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high"), (F.count(F.lit(1)) > 2).alias("more")).where("low < high").select("value", "low", "more"))
-    return stored(found.join(several, "value").select("value", *WINDOW, "low", "more"), "windows")
+def with_least(rest: DataFrame) -> DataFrame:
+    """Each window of ``rest`` with ``r``, the least window of its value."""
+    return rest.withColumn("r", F.min(F.struct(*WINDOW)).over(Window.partitionBy("value")))
 
 
-def with_least(rest: DataFrame, of: DataFrame) -> DataFrame:
-    """Each window of ``rest`` with ``r``, the least window in ``of`` of its value."""
-    return rest.join(cut(of.groupBy("value").agg(F.min(F.struct(*WINDOW)).alias("r"))), "value").select("value", *WINDOW, "r")
+def shared_windows(found: DataFrame) -> DataFrame:
+    """The windows of ``found`` whose value two texts have, with ``r``, the least window of the value, and whether there are ``more`` than two; computed once."""
+    same = Window.partitionBy("value")
+    several = with_least(found).withColumns({"high": F.max("id").over(same), "more": F.count(F.lit(1)).over(same) > 2}).where("r.id < high")
+    return stored(several.select("value", *WINDOW, "r", "more"), "windows")
 
 
 def candidates(both: DataFrame) -> DataFrame:
@@ -182,12 +185,6 @@ def unlinked(found: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.join(starts, ["id", "cell"], "left").withColumn("since", reach).where("since <= until").drop("spans", "cell", "until")
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    x, y = np.unique(x), np.unique(y)
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common / (len(x) + len(y) - common)
-
-
 def located(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     """For each code of x whether y has it, and the first place of it, or of some other code, in y; and whether no code of y repeats. Codes are below 2 ** 32."""
     packed = np.sort(y.astype(np.uint64) << np.uint64(32) | np.arange(len(y), dtype=np.uint64))  # one plain sort, places along with their codes
@@ -198,11 +195,45 @@ def located(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]
     return distinct[at] == x, (packed[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)[at], len(first) == len(y)
 
 
+def flat_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the codes of all ``texts``, end to end, where each text starts, how many codes it has)."""
+    texts = texts.cast(pa.large_binary())
+    _, offsets, values = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(memoryview(values or b"")[offsets[0] : offsets[-1]], np.uint32)
+    return data, (offsets[:-1] - offsets[0]) // 4, np.diff(offsets) // 4
+
+
+def listed(cells: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(for each member of the lists ``cells`` the row of its list, the fields ``names`` of the members, or the members themselves)."""
+    rows, values = np.repeat(np.arange(len(cells)), np.diff(np.asarray(cells.offsets))), cells.flatten()
+    return rows, [np.asarray(values.field(name)).astype(np.int64) for name in names] if names else [np.asarray(values).astype(np.int64)]
+
+
+def rolling(codes: np.ndarray):
+    """A function of arrays (first, last + 1) that gives a hash of the codes of each stretch, wherever it stands."""
+    codes = mix(codes.astype(np.uint64) + np.uint64(1))
+    power, inverse = power_tables(len(codes) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * power[: len(codes)])])
+    return lambda a, z: mix((sums[z] - sums[a]) * inverse[a])
+
+
+def distinct_counts(ranks: np.ndarray, width: int = LEAST) -> np.ndarray:
+    """The number of different ``ranks`` in each stretch of ``width``."""
+    order, at = np.argsort(ranks, kind="stable"), np.arange(len(ranks))
+    again = np.flatnonzero(ranks[order[1:]] == ranks[order[:-1]])
+    before = np.full(len(ranks), -1)
+    before[order[again + 1]] = order[again]
+    # a place counts in the stretches that hold it and not the place before of the same rank
+    edges = np.bincount(np.maximum(before + 1, np.maximum(at - width + 1, 0)), minlength=len(ranks) + 1) - np.bincount(at + 1, minlength=len(ranks) + 1)
+    return np.cumsum(edges)[: len(ranks) - width + 1]
+
+
 def common_stretches(x: np.ndarray, y: np.ndarray, places: tuple[np.ndarray, np.ndarray, bool] | None = None) -> list[tuple[int, int, int, float]]:
     """(start in x, end in x, start in y, similarity) of the stretches of at least LEAST codes that x and y share; ``places`` is located(x, y).
 
     Stretches of LEAST codes of which enough occur in y are merged where they overlap; a merged one that is not similar
-    enough as a whole is split at its least dense place, and both parts are tried again.
+    enough as a whole is split at its least dense place, and both parts are tried again, unless no part can be similar enough.
     """
     if min(len(x), len(y)) < LEAST:
         return []
@@ -212,13 +243,18 @@ def common_stretches(x: np.ndarray, y: np.ndarray, places: tuple[np.ndarray, np.
     sums = np.concatenate([[0], np.cumsum(match)])
     density = sums[LEAST:] - sums[:-LEAST]
     dense = np.flatnonzero(density >= np.ceil(DENSITY * LEAST))
+    if not len(dense):
+        return []
     ordered = np.sort(x)
     single = not (ordered[1:] == ordered[:-1]).any()
+    sets = None if single and y_single else _Sets(x, y, match, where)
     out = []
-    runs = np.split(dense, np.flatnonzero(np.diff(dense) > LEAST) + 1)[::-1] if len(dense) else []
+    runs = np.split(dense, np.flatnonzero(np.diff(dense) > LEAST) + 1)[::-1]
     while runs:
         run = runs.pop()
-        hit = _similar(x, y, match, where, int(run[0]), int(run[-1]) + LEAST, single, y_single)
+        if sets and not sets.possible(int(run[0]), int(run[-1]) + LEAST):
+            continue
+        hit = _similar(match, where, len(y), int(run[0]), int(run[-1]) + LEAST, single, sets)
         if hit:
             out.append(hit)
         elif len(run) > 1:
@@ -232,6 +268,32 @@ def common_stretches(x: np.ndarray, y: np.ndarray, places: tuple[np.ndarray, np.
     return _fewest(out)
 
 
+class _Sets:
+    """Two code sequences of which some code repeats, as sets."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, match: np.ndarray, where: np.ndarray):
+        codes, ranks = np.unique(np.concatenate([x, y]), return_inverse=True)
+        self.n, self.x, self.y, self.match, self.where = len(codes), ranks[: len(x)], ranks[len(x) :], match, where
+        self.x_counts, self.y_counts = distinct_counts(self.x), distinct_counts(self.y)
+
+    def possible(self, a: int, z: int) -> bool:
+        """False only if no passage of x within x[a:z] can be similar enough to the place in y that ``_similar`` compares it with.
+
+        Both have LEAST codes or more, so at least as many different ones as the poorest stretch of LEAST that they may hold.
+        """
+        inside = np.flatnonzero(self.match[a:z]) + a
+        where, last = self.where[inside], len(self.y) - LEAST
+        common = np.count_nonzero(np.bincount(self.x[inside]))
+        least = self.x_counts[a : z - LEAST + 1].min() + self.y_counts[min(where.min(), last) : min(where.max(), last) + 1].min()
+        return (1 + SIMILARITY) * common >= SIMILARITY * least - 1e-6
+
+    def likeness(self, a: int, z: int, first: int, last: int) -> float:
+        of_x, of_y = np.zeros(self.n, bool), np.zeros(self.n, bool)
+        of_x[self.x[a:z]] = True
+        of_y[self.y[first:last]] = True
+        return np.count_nonzero(of_x & of_y) / np.count_nonzero(of_x | of_y)
+
+
 def equal_runs(match: np.ndarray, where: np.ndarray) -> list[tuple[int, int, int, float]]:
     """(start in x, end in x, start in y, 1.0) of stretches of at least LEAST codes that x and y have in the same order, one after the other, as ``located`` tells."""
     shift = np.where(match, where - np.arange(len(match)), np.iinfo(np.int64).min)
@@ -241,8 +303,8 @@ def equal_runs(match: np.ndarray, where: np.ndarray) -> list[tuple[int, int, int
     return [(int(a), int(z), int(where[a]), 1.0) for a, z in zip(starts[long], ends[long], strict=True)]
 
 
-def _similar(x: np.ndarray, y: np.ndarray, match: np.ndarray, where: np.ndarray, a: int, z: int, single: bool, y_single: bool) -> tuple | None:
-    """x[a:z], less what does not match at its ends, with its place in y and their similarity, if that suffices."""
+def _similar(match: np.ndarray, where: np.ndarray, size: int, a: int, z: int, single: bool, sets: _Sets | None) -> tuple | None:
+    """x[a:z], less what does not match at its ends, with its place in y, which has ``size`` codes, and their similarity, if that suffices."""
     inside = np.flatnonzero(match[a:z]) + a
     a, z = (int(inside[0]), int(inside[-1]) + 1) if z - a > LEAST else (a, z)
     if z - a < LEAST or single and len(inside) < SIMILARITY * (z - a + max(0, LEAST - len(inside))):
@@ -251,13 +313,13 @@ def _similar(x: np.ndarray, y: np.ndarray, match: np.ndarray, where: np.ndarray,
     near = where[inside][np.abs(shift - np.median(shift)) <= max(16, (z - a) // 5)]
     if not len(near):
         return None
-    last = min(max(int(near.max()) + 1, int(near.min()) + LEAST), len(y))
+    last = min(max(int(near.max()) + 1, int(near.min()) + LEAST), size)
     first = min(int(near.min()), last - LEAST)  # a passage on both sides, not the matching part of one
-    if single and y_single:  # no code counts twice
+    if sets is None:  # no code counts twice
         common = int(np.count_nonzero(match[a:z] & (where[a:z] >= first) & (where[a:z] < last)))
         likeness = common / (z - a + last - first - common)
     else:
-        likeness = jaccard(x[a:z], y[first:last])
+        likeness = sets.likeness(a, z, first, last)
     return (a, z, first, likeness) if likeness >= SIMILARITY else None
 
 
@@ -288,29 +350,23 @@ def stretches(nodes: DataFrame, coded: DataFrame) -> DataFrame:
     per_text = nodes.groupBy("id").agg(F.collect_set(F.struct("fn", "node", "first", "last", "since")).alias("nodes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes = mix(np.frombuffer(batch.column(1)[i].as_buffer(), np.uint32).astype(np.uint64) + np.uint64(1))
-                n, (power, inverse) = len(codes), power_tables(len(codes))
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * power[:n])])
-                cells = batch.column(2)[i].values
-                fn, node, first, last, since = (np.asarray(cells.field(c)).astype(np.int64) for c in range(5))
-                low, high = np.maximum(first, node - LEAST + 1), np.minimum(np.minimum(node, last - LEAST + 1), n - LEAST)
-                shared = np.ones(n, bool)
-                for k in range(1, HASHES):
-                    edges, own = np.zeros(n + 1, np.int64), (fn == k) & (high >= low)
-                    np.add.at(edges, low[own], 1)
-                    np.add.at(edges, high[own] + 1, -1)
-                    shared &= np.cumsum(edges)[:n] > 0
-                sizes = np.where(fn == 0, np.maximum(high - low + 1, 0), 0)
-                at = np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                seeks = at >= np.repeat(since, sizes)
-                at, seeks = at[shared[at]], seeks[shared[at]]
-                if not len(at):
-                    continue
-                keys = mix((sums[at + LEAST] - sums[at]) * inverse[at])  # as if each stretch stood at the text's start
-                ids = pa.array([batch.column(0)[i].as_py()] * len(at), batch.schema.field(0).type)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids, pa.array(at.astype(np.int32)), pa.array(seeks)], ["key", "id", "at", "seeks"])
+        for batch in (part for whole in batches for part in slices(whole, 1, TOGETHER)):
+            codes, starts, lengths = flat_codes(batch.column(1))
+            hashed = rolling(codes)
+            row, (fn, node, first, last, since) = listed(batch.column(2), "fn", "node", "first", "last", "since")
+            low, high = np.maximum(first, node - LEAST + 1), np.minimum(np.minimum(node, last - LEAST + 1), lengths[row] - LEAST)
+            shared = np.ones(len(codes), bool)
+            for k in range(1, HASHES):
+                own = (fn == k) & (high >= low)
+                edges = np.bincount((starts[row] + low)[own], minlength=len(codes) + 1) - np.bincount((starts[row] + high)[own] + 1, minlength=len(codes) + 1)
+                shared &= np.cumsum(edges)[: len(codes)] > 0
+            sizes = np.where(fn == 0, np.maximum(high - low + 1, 0), 0)
+            at = np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            seeks, row = at >= np.repeat(since, sizes), np.repeat(row, sizes)
+            kept = shared[starts[row] + at]
+            at, seeks, row = at[kept], seeks[kept], row[kept]
+            keys = hashed(starts[row] + at, starts[row] + at + LEAST)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(seeks)], ["key", "id", "at", "seeks"])
 
     return coded.join(per_text, "id").select("id", "codes", "nodes").mapInArrow(run, f"key bigint, id {kind}, at int, seeks boolean")
 
@@ -345,25 +401,21 @@ def contexts(mixed: DataFrame, coded: DataFrame) -> DataFrame:
     per_text = mixed.groupBy("id", "root").agg(F.collect_set(F.struct("node", "first", "last")).alias("nodes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes = mix(np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32).astype(np.uint64) + np.uint64(1))
-                n, (power, inverse) = len(codes), power_tables(len(codes) + 1)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * power[:n])])
-                hashed = lambda a, z: mix((sums[z] - sums[a]) * inverse[a])  # noqa: E731, B023
-                node, first, last = (np.asarray(batch.column(3)[i].values.field(c)).astype(np.int64) for c in range(3))
-                for side in (0, 1):
-                    low, high = (node - half, node + 1) if side == 0 else (node, node + half + 1)
-                    kept = (low >= 0) & (high <= n) & (last < n)  # an id may have several texts
-                    if not kept.any():
-                        continue
-                    keys = mix(hashed(low[kept], high[kept]) + np.uint64(side))
-                    at = node[kept]
-                    a, z = np.maximum(at - AROUND, 0), np.minimum(at + AROUND + 1, n)
-                    same = mix(hashed(a, z) ^ ((at - a) * 1000 + z - at).astype(np.uint64))  # the node's place among them counts
-                    ids = [pa.array([batch.column(c)[i].as_py()] * len(at), batch.schema.field(c).type) for c in (0, 1)]
-                    cells = [pa.array(c[kept].astype(np.int32)) for c in (node, first, last)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *ids, *cells, pa.array(same.view(np.int64))], [*SEEN, "same"])
+        for batch in (part for whole in batches for part in slices(whole, 2, TOGETHER)):
+            codes, starts, lengths = flat_codes(batch.column(2))
+            hashed = rolling(codes)
+            all_rows, all_cells = listed(batch.column(3), "node", "first", "last")
+            for side in (0, 1):
+                node, _, last = all_cells
+                low, high = (node - half, node + 1) if side == 0 else (node, node + half + 1)
+                kept = (low >= 0) & (high <= lengths[all_rows]) & (last < lengths[all_rows])  # an id may have several texts
+                row, cells = all_rows[kept], [c[kept] for c in all_cells]
+                start, at = starts[row], cells[0]
+                keys = mix(hashed(start + low[kept], start + high[kept]) + np.uint64(side))
+                a, z = np.maximum(at - AROUND, 0), np.minimum(at + AROUND + 1, lengths[row])
+                same = mix(hashed(start + a, start + z) ^ ((at - a) * 1000 + z - at).astype(np.uint64))  # the node's place among them counts
+                ids = [batch.column(c).take(pa.array(row)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *ids, *[pa.array(c.astype(np.int32)) for c in cells], pa.array(same.view(np.int64))], [*SEEN, "same"])
 
     rows = coded.join(per_text, "id").select("id", "root", "codes", "nodes").mapInArrow(run, f"key bigint, id {kind}, root {kind}, node int, first int, last int, same bigint")
     rows = cut(rows.groupBy("key", "root", "same").agg(F.min(F.struct(*WINDOW)).alias("w")).select("key", "root", "w.*"))
@@ -404,48 +456,66 @@ def rarest(places: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndar
 def meetings(seen: DataFrame, coded: DataFrame) -> DataFrame:
     """(id, other, a, z, oa, oz) as of ``candidates``: pairs of texts of one key in ``seen`` and of different classes.
 
-    In a key of at most FEW texts all meet; in others those that share a shingle that is among the rarest around both.
+    In a key of at most FEW texts all meet. Texts of larger keys meet if they share a shingle that is among the rarest around nodes of both; what is
+    rare is told over all these texts at once, so a text that has many keys, as one with a long common line has, is looked at once.
     """
     kind = seen.schema["id"].dataType.simpleString()
     texts = cut(seen.groupBy("key", "id", "root").agg(F.greatest(F.min("node") - AROUND, F.lit(0)).alias("a"), (F.max("node") + AROUND).alias("z")))
     per_key = cut(_of_several(texts, "key"))
     large = cut(per_key.where(F.col("n") > FEW).select("key"))
-    few = texts.join(per_key.where(F.col("n") <= FEW).select("key"), "key").select("key", F.lit(-1).cast("bigint").alias("code"), "id", "root", "a", "z")
-    per_text = seen.join(large, "key").groupBy("id", "root").agg(F.collect_list(F.struct("key", "node")).alias("nodes"))
+    few = texts.join(per_key.where(F.col("n") <= FEW).select("key"), "key").select("key", "id", "root", "a", "z")
+    nodes = cut(seen.join(large, "key").groupBy("id", "root").agg(F.collect_set("node").alias("nodes")))
+    per_text = coded.join(nodes, "id").select("id", "root", "codes", "nodes")
+
+    def near(codes: pa.Array, nodes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, code) of what lies around the nodes, each place once, however many nodes are near."""
+        flat, starts, lengths = flat_codes(codes)
+        row, (node,) = listed(nodes)
+        row, node = row[node < lengths[row]], node[node < lengths[row]]
+        edges = np.bincount(starts[row] + np.maximum(node - AROUND, 0), minlength=len(flat) + 1) - np.bincount(starts[row] + np.minimum(node + AROUND + 1, lengths[row]), minlength=len(flat) + 1)
+        at = np.flatnonzero(np.cumsum(edges)[:-1])
+        row = np.repeat(np.arange(len(lengths)), lengths)[at]
+        return row, at - starts[row], flat[at].astype(np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes, cells = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32), batch.column(3)[i].values
-                keys, nodes = (np.asarray(cells.field(c)) for c in (0, 1))
-                for key in np.unique(keys).tolist():
-                    near, edges = nodes[keys == key], np.zeros(len(codes) + 1, np.int64)
-                    near = near[near < len(codes)]
-                    np.add.at(edges, np.maximum(near - AROUND, 0), 1)
-                    np.add.at(edges, np.minimum(near + AROUND + 1, len(codes)), -1)
-                    at = np.flatnonzero(np.cumsum(edges)[:-1])  # each place once, however many nodes are near
-                    many = [pa.array([v] * len(at), t) for v, t in ((key, pa.int64()), *((batch.column(c)[i].as_py(), batch.schema.field(c).type) for c in (0, 1)))]
-                    yield pa.RecordBatch.from_arrays([*many, pa.array(at.astype(np.int32)), pa.array(codes[at].astype(np.int64))], ["key", "id", "root", "place", "code"])
+        for batch in (part for whole in batches for part in slices(whole, 2, TOGETHER)):
+            row, _, code = near(batch.column(2), batch.column(3))
+            once = np.unique(row.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64))
+            row, code = (once >> np.uint64(32)).astype(np.int64), (once & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(code), *(batch.column(c).take(pa.array(row)) for c in (0, 1))], ["code", "id", "root"])
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, codes_out = [], []
+        for batch in (part for whole in batches for part in slices(whole, 2, TOGETHER)):
+            rows, places, codes = near(batch.column(2), batch.column(3))
+            of, (known, counts) = listed(batch.column(4), "code", "n")
+            found = []
             for i in range(batch.num_rows):
-                places, codes, counts = (np.asarray(batch.column(3)[i].values.field(c)).astype(np.int64) for c in range(3))
-                kept = np.unique(codes[rarest(places, codes, counts)])
-                rows += [i] * len(kept)
-                codes_out += kept.tolist()
-            taken = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), pa.array(codes_out, pa.int64()), *(batch.column(c).take(taken) for c in (1, 2))], ["key", "code", "id", "root"])
-
-    around = stored(coded.join(per_text, "id").select("id", "root", "codes", "nodes").mapInArrow(spread, f"key bigint, id {kind}, root {kind}, place int, code bigint"), "around")
-    counts = cut(_of_several(around.select("key", "code", "id", "root").distinct(), "key", "code"))
-    # a passage of LEAST has at most so many shingles that no other class has
-    held = around.join(counts, ["key", "code"]).groupBy("key", "id", "root").agg(F.collect_list(F.struct("place", "code", "n")).alias("held")).where(F.size("held") >= LEAST - LACKED[0][1])
-    keys = cut(held.mapInArrow(chosen, f"key bigint, code bigint, id {kind}, root {kind}"))
-    rows = cut(few.unionByName(keys.join(cut(_of_several(keys, "key", "code").drop("n")), ["key", "code"]).join(texts, ["key", "id", "root"])))
-    other = rows.select("key", "code", F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("a").alias("oa"), F.col("z").alias("oz"))
-    met = rows.join(other, ["key", "code"]).where("root <> other_root and id > other")
+                place, code, order = places[rows == i], codes[rows == i], np.argsort(known[of == i])
+                mine, n = known[of == i][order], counts[of == i][order]
+                slot = np.minimum(np.searchsorted(mine, code), len(mine) - 1)
+                useful = mine[slot] == code
+                place, code, n = place[useful], code[useful], n[slot[useful]]
+                if len(place) < LEAST - LACKED[0][1]:  # a passage of LEAST has at most so many shingles that no other class has
+                    continue
+                kept = np.unique(code[rarest(place, code, n)])
+                inside = np.isin(code, kept)
+                place, slot = place[inside], np.searchsorted(kept, code[inside])
+                low, high = np.full(len(kept), np.iinfo(np.int32).max), np.full(len(kept), -1)
+                np.minimum.at(low, slot, place)
+                np.maximum.at(high, slot, place)
+                found.append((np.full(len(kept), i), kept, np.maximum(low - AROUND, 0), high + AROUND))
+            if found:
+                row, code, a, z = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(code), *(batch.column(c).take(pa.array(row)) for c in (0, 1)), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], ["key", "id", "root", "a", "z"])
+
+    around = stored(per_text.mapInArrow(spread, f"code bigint, id {kind}, root {kind}").distinct(), "around")
+    held = around.join(cut(_of_several(around, "code")), "code").groupBy("id", "root").agg(F.collect_list(F.struct("code", "n")).alias("held"))
+    keys = per_text.join(held, ["id", "root"]).mapInArrow(chosen, f"key bigint, id {kind}, root {kind}, a int, z int")
+    keys = cut(keys.groupBy("key", "id", "root").agg(F.min("a").alias("a"), F.max("z").alias("z")))
+    # a code is below 2 ** 32 and a key of few texts any number, so they are told apart
+    rows = cut(few.withColumn("rare", F.lit(False)).unionByName(keys.join(_of_several(keys, "key").select("key"), "key").withColumn("rare", F.lit(True))))
+    other = rows.select("key", "rare", F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("a").alias("oa"), F.col("z").alias("oz"))
+    met = rows.join(other, ["key", "rare"]).where("root <> other_root and id > other")
     return met.groupBy("id", "other").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.min("oa").alias("oa"), F.max("oz").alias("oz"))
 
 
@@ -503,15 +573,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         joined = left.join(right, "other").select("id", "other", "a", "oa", "x", cut_out("other_codes", "oa", "oz").alias("y"))
         return cut(joined.mapInArrow(verify, f"id {kind}, other {kind}, start int, n_words int, other_start int, similarity double, whole boolean").distinct())
 
-    rest = members.where("id > low").select("value", *WINDOW)
-    out = verified(candidates(with_least(rest, members.where("id = low"))))
+    rest = members.where("id > r.id")
+    out = verified(candidates(rest))
     release(docs.sparkSession)
-    rest = cut(unsettled(rest, out.where("similarity = 1 and whole")))
-    out = out.unionByName(verified(candidates(with_least(rest, rest))))
+    rest = unsettled(rest.select("value", *WINDOW), out.where("similarity = 1 and whole"))
+    out = out.unionByName(verified(candidates(with_least(rest))))
     release(docs.sparkSession)
     fn = F.col("value").bitwiseAND(F.lit(7)).cast("int")
     # two windows alone have been compared as they are
-    seekers = cut(unlinked(members.where((fn == 0) & F.col("more") & (F.col("id") > F.col("low"))), out.where("similarity = 1")).select("id", "value", "node", "since"))
+    seekers = cut(unlinked(members.where((fn == 0) & F.col("more") & (F.col("id") > F.col("r.id"))), out.where("similarity = 1")).select("id", "value", "node", "since"))
     out = out.where("whole").drop("whole")
     if not seekers.isEmpty():
         never = F.lit(1 << 30)
@@ -522,8 +592,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         out = out.unionByName(equal_stretches(keyed))
     out = cut(out.distinct())
     roots = components(out.select(F.col("id").alias("u"), F.col("other").alias("v")))
-    mixed = with_classes(members.select("value", *WINDOW), roots)
-    seen = cut(contexts(mixed.join(cut(_of_several(mixed, "value").select("value")), "value").drop("value"), coded))
+    same = Window.partitionBy("value")
+    mixed = with_classes(members.select("value", *WINDOW), roots).withColumns({"one": F.min("root").over(same), "two": F.max("root").over(same)})
+    seen = cut(contexts(mixed.where("one < two").drop("one", "two", "value"), coded))
     release(docs.sparkSession)
     out = out.unionByName(verified(meetings(seen, coded)).where("whole").drop("whole"))
     return named_columns(out, id_col)
