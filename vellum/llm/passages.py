@@ -457,7 +457,8 @@ def meetings(seen: DataFrame, coded: DataFrame) -> DataFrame:
     """(id, other, a, z, oa, oz) as of ``candidates``: pairs of texts of one key in ``seen`` and of different classes.
 
     In a key of at most FEW texts all meet. Texts of larger keys meet if they share a shingle that is among the rarest around nodes of both; what is
-    rare is told over all these texts at once, so a text that has many keys, as one with a long common line has, is looked at once.
+    rare is told over all these texts at once, so a text that has many keys, as one with a long common line has, is looked at once. A pair meets at the
+    first of the rare shingles that it shares, and texts of the class that has most of a key are not laid beside each other.
     """
     kind = seen.schema["id"].dataType.simpleString()
     texts = cut(seen.groupBy("key", "id", "root").agg(F.greatest(F.min("node") - AROUND, F.lit(0)).alias("a"), (F.max("node") + AROUND).alias("z")))
@@ -497,26 +498,30 @@ def meetings(seen: DataFrame, coded: DataFrame) -> DataFrame:
                 place, code, n = place[useful], code[useful], n[slot[useful]]
                 if len(place) < LEAST - LACKED[0][1]:  # a passage of LEAST has at most so many shingles that no other class has
                     continue
-                kept = np.unique(code[rarest(place, code, n)])
-                inside = np.isin(code, kept)
-                place, slot = place[inside], np.searchsorted(kept, code[inside])
-                low, high = np.full(len(kept), np.iinfo(np.int32).max), np.full(len(kept), -1)
-                np.minimum.at(low, slot, place)
-                np.maximum.at(high, slot, place)
-                found.append((np.full(len(kept), i), kept, np.maximum(low - AROUND, 0), high + AROUND))
+                taken = rarest(place, code, n)
+                if taken.any():
+                    found.append((i, np.unique(code[taken]), max(int(place[taken].min()) - AROUND, 0), int(place[taken].max()) + AROUND))
             if found:
-                row, code, a, z = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(code), *(batch.column(c).take(pa.array(row)) for c in (0, 1)), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], ["key", "id", "root", "a", "z"])
+                row, lists, a, z = zip(*found, strict=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32)), pa.array(np.concatenate(lists)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in (0, 1)), lists, pa.array(a, pa.int32()), pa.array(z, pa.int32())], ["id", "root", "codes", "a", "z"])
 
     around = stored(per_text.mapInArrow(spread, f"code bigint, id {kind}, root {kind}").distinct(), "around")
     held = around.join(cut(_of_several(around, "code")), "code").groupBy("id", "root").agg(F.collect_list(F.struct("code", "n")).alias("held"))
-    keys = per_text.join(held, ["id", "root"]).mapInArrow(chosen, f"key bigint, id {kind}, root {kind}, a int, z int")
-    keys = cut(keys.groupBy("key", "id", "root").agg(F.min("a").alias("a"), F.max("z").alias("z")))
-    # a code is below 2 ** 32 and a key of few texts any number, so they are told apart
-    rows = cut(few.withColumn("rare", F.lit(False)).unionByName(keys.join(_of_several(keys, "key").select("key"), "key").withColumn("rare", F.lit(True))))
-    other = rows.select("key", "rare", F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("a").alias("oa"), F.col("z").alias("oz"))
-    met = rows.join(other, ["key", "rare"]).where("root <> other_root and id > other")
-    return met.groupBy("id", "other").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.min("oa").alias("oa"), F.max("oz").alias("oz"))
+    keys = per_text.join(held, ["id", "root"]).mapInArrow(chosen, f"id {kind}, root {kind}, codes array<bigint>, a int, z int")
+    keys = cut(keys.groupBy("id", "root").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"), F.min("a").alias("a"), F.max("z").alias("z")))
+    # a code and a key of few texts may be one number, so they are told apart
+    few = few.withColumns({"rare": F.lit(False), "codes": F.array().cast("array<bigint>")})
+    rows = few.unionByName(keys.select(F.explode("codes").alias("key"), "id", "root", "a", "z", F.lit(True).alias("rare"), "codes"))
+    classes = rows.groupBy("key", "rare", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "rare").agg(F.max_by("root", "n").alias("main"), (F.count(F.lit(1)) > 1).alias("several"))
+    rows = cut(rows.join(classes.where("several").drop("several"), ["key", "rare"]))
+    other = rows.select("key", "rare", *(F.col(c).alias(f"other_{c}") for c in ("id", "root", "codes", "a", "z")))
+    met = rows.where("root <> main").join(other, ["key", "rare"])
+    met = met.where("root <> other_root and (other_root = main or id > other_id) and (not rare or array_min(array_intersect(codes, other_codes)) = key)")
+    turned = F.col("id") < F.col("other_id")
+    either = lambda c, d: F.when(turned, F.col(d)).otherwise(F.col(c))
+    both = met.select(F.greatest("id", "other_id").alias("id"), F.least("id", "other_id").alias("other"), either("a", "other_a").alias("a"), either("z", "other_z").alias("z"), either("other_a", "a").alias("oa"), either("other_z", "z").alias("oz"))
+    return both.groupBy("id", "other").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.min("oa").alias("oa"), F.max("oz").alias("oz"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
